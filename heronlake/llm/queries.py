@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.llm import mixing, ngram_join, quality_rules, token_files
+from heronlake.llm import compaction, decontamination, mixing, ngram_join, quality_rules, token_files, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.write_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(_table(spark, sf_dir, "documents"))
 
@@ -30,8 +42,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op7_quality_rules, op9_token_files, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op5_mixing, op6_compaction, op7_quality_rules, op8_warc_zip, op9_token_files, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op8_warc_zip": warc_zip.ORACLE}
