@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.llm import compaction, decontamination, mixing, ngram_join, quality_rules, token_files, warc_zip
+from heronlake.llm import compaction, decontamination, mixing, ngram_join, ppm, quality_rules, token_files, warc_zip
+from heronlake.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -17,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_mixing, op6_compaction, op7_quality_rules, op8_warc_zip, op9_token_files, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op3_ppm, op5_mixing, op6_compaction, op7_quality_rules, op8_warc_zip, op9_token_files, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
