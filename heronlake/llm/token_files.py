@@ -27,7 +27,7 @@ from heronlake.llm import _store
 from heronlake.llm import _words as W
 
 END_ID = 1
-CHUNKS, RUNS = 500_000, 800_000  # entries that a worker remembers; beyond, it starts again
+CHUNKS, RUNS = 1_500_000, 1_000_000  # entries that a worker remembers; beyond, it starts again
 SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("part_start", T.LongType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
@@ -37,6 +37,17 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Chunks(dict):
+    """Ids of chunks, learnt when first asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        got = self[chunk] = self.learn(chunk)
+        return got
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -60,7 +71,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = _Chunks(self.learn)
         self.runs: dict[str, bytes] = {}
 
     def run(self, s: str) -> bytes:
@@ -69,26 +80,19 @@ class Encoder:
             got = self.runs[s] = np.array([t.id for t in self.tokenizer.model.tokenize(s.translate(self.letters))], "<i4").tobytes() if s else b""
         return got
 
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self.chunks) + len(missing) > CHUNKS:
+    def learn(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if m := _PLAIN.fullmatch(text):
+            return self.run(m[1].lower()) + self.run(m[2])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         if len(self.runs) > RUNS:
             self.runs.clear()
-        rest = []
-        for chunk in missing:
-            if m := _PLAIN.fullmatch(chunk.decode("utf-8", "replace")):
-                self.chunks[chunk] = self.run(m[1].lower()) + self.run(m[2])
-            else:
-                rest.append(chunk)
-        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False), strict=True):
-            self.chunks[chunk] = np.array(e.ids, "<i4").tobytes()
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if missing := set().union(*split) - self.chunks.keys():
-            self.learn(missing)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, s)) + end for s in split]
+        return [b"".join(map(get, t.split())) + end for t in texts]
 
 
 def encoder(path: str) -> Encoder:
