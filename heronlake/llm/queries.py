@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronlake.llm import compaction, decontamination, mixing, ngram_join, ppm, quality_rules, token_files, warc_zip
+from heronlake.llm import compaction, decontamination, language_id, mixing, ngram_join, ppm, quality_rules, token_files, warc_zip, weak_labels
 from heronlake.session import ship
 
 
@@ -19,10 +19,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_ppm, op5_mixing, op6_compaction, op7_quality_rules, op8_warc_zip, op9_token_files, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ppm, op4_weak_labels, op5_mixing, op6_compaction, op7_quality_rules, op8_warc_zip, op9_token_files, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
