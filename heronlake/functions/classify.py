@@ -53,10 +53,6 @@ def trim_title(s: Column) -> Column:
     return F.regexp_replace(F.trim(s), r"[ \-–_.(\[]+\z", "")
 
 
-def _title(s: Column, cut: str) -> Column:
-    return trim_title(F.when(_has(s, cut), _first(s, cut, 1)).otherwise(s))
-
-
 def blocked(name: Column, files: Column | None = None) -> Column:
     """The safety gate over a name and all paths (``files``: structs with a ``path``)."""
     hit = _has(normalize(F.coalesce(name, F.lit(""))), P.BLOCKED)
@@ -69,13 +65,15 @@ def _number(s: Column) -> Column:
     return F.coalesce(s.try_cast("int"), F.lit(0))
 
 
-def tv_marks(normalized: Column) -> tuple[Column, Column, Column]:
-    """Whether a name is of a series, its season and its episode (0 for none)."""
-    one = lambda *groups: F.coalesce(*(F.nullif(_first(normalized, P.EPISODE, g), F.lit("")) for g in groups), F.lit("0"))
-    numbered, pack = _has(normalized, P.EPISODE), _has(normalized, P.SEASON_PACK)
-    season = F.when(numbered, _number(one(1, 3, 6))).when(pack, _number(_first(normalized, P.SEASON, 1))).otherwise(F.lit(0))
-    episode = F.when(numbered, _number(one(2, 4, 5, 7, 8))).otherwise(F.lit(0))
-    return numbered | pack, season, episode
+def tv_marks(normalized: Column, mark: Column, pack: Column) -> tuple[Column, Column, Column]:
+    """Whether a name is of a series, its season and its episode (0 for none), from its first episode and season marks.
+
+    The mark's parts are read from the mark alone, which matches as it did in the name.
+    """
+    one = lambda *groups: F.coalesce(*(F.nullif(_first(mark, P.EPISODE, g), F.lit("")) for g in groups), F.lit("0"))
+    season = F.when(mark != "", _number(one(1, 3, 6))).when(pack != "", _number(_first(pack, P.SEASON, 1))).otherwise(F.lit(0))
+    episode = F.when(mark != "", _number(one(2, 4, 5, 7, 8))).otherwise(F.lit(0))
+    return (mark != "") | (pack != ""), season, episode
 
 
 def anime(name: Column, normalized: Column, is_tv: Column, adult: Column) -> Column:
@@ -106,13 +104,14 @@ def classify(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     name = F.coalesce(F.col("name"), F.lit(""))
     out = df.withColumn("__n", F.regexp_replace(normalize(name), P.java(P.SITE_PREFIX), ""))
     n = F.col("__n")
-    tv, season, episode = tv_marks(n)
+    out = out.withColumns({"__mark": _first(n, P.EPISODE), "__pack": _first(n, P.SEASON)})
+    tv, season, episode = tv_marks(n, F.col("__mark"), F.col("__pack"))
     out = out.withColumns({"__tv": tv, "__season": season, "__episode": episode, "__adult": _has(name, P.ADULT) | _has(n, P.ADULT), "__year": F.coalesce(F.nullif(_first(n, P.YEAR, 1), F.lit("")), F.lit("0")).cast("int"), "__quality": _first(n, P.RESOLUTION)})
     out = out.withColumn("__anime", anime(name, n, F.col("__tv"), F.col("__adult")))
     kind = F.when(F.col("__anime"), "anime").when(F.col("__tv"), "tv").when((F.col("__year") > 0) | (F.col("__quality") != ""), "movie").otherwise("unknown")
-    title = F.when(F.col("__anime"), _title(F.regexp_replace(n, P.java(P.BRACKET_PREFIX), ""), P.ANIME_TITLE)).otherwise(_title(n, P.TITLE))
+    cut = F.when(F.col("__anime"), _first(F.regexp_replace(n, P.java(P.BRACKET_PREFIX), ""), P.ANIME_TITLE, 1)).otherwise(_first(n, P.TITLE, 1))
     stem = F.when(is_video(F.lower(extension(name))), F.regexp_replace(name, r"\.[^./]*\z", "")).otherwise(name)
-    out = out.withColumns({"__kind": kind, "__title": title, "__group": _first(stem, P.RELEASE_GROUP, 1)})
+    out = out.withColumns({"__kind": kind, "__title": trim_title(cut), "__group": _first(stem, P.RELEASE_GROUP, 1)})
     size = F.coalesce(F.col("total_size"), F.lit(0))
     reason = F.when((size < s.min_size) | (size > s.max_size), "size")
     if s.exclude_adult:

@@ -62,11 +62,10 @@ def ip_number(ip: Column) -> Column:
 
 def crc32c(number: Column) -> Column:
     """Of a 32-bit number's four big-endian bytes."""
-    table, crc = F.array(*map(F.lit, CRC_TABLE)).cast("array<long>"), F.lit(0xFFFFFFFF).cast("long")
-    for shift in (24, 16, 8, 0):
-        byte = F.shiftrightunsigned(number, shift).bitwiseAND(255)
-        crc = F.shiftrightunsigned(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(byte).bitwiseAND(255).cast("int")))
-    return crc.bitwiseXOR(0xFFFFFFFF)
+    table = F.array(*map(F.lit, CRC_TABLE)).cast("array<bigint>")
+    data = F.array(*(F.shiftrightunsigned(number, shift).bitwiseAND(255) for shift in (24, 16, 8, 0)))
+    step = lambda crc, byte: F.shiftrightunsigned(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(byte).bitwiseAND(255).cast("int")))
+    return F.aggregate(data, F.lit(0xFFFFFFFF).cast("long"), step).bitwiseXOR(0xFFFFFFFF)
 
 
 def _seed_crc(ip: Column, r: Column) -> Column:

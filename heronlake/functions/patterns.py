@@ -50,7 +50,37 @@ BLOCKED_WORDS = (
 # End of the fixed values.
 
 FANSUB = rf"(?i)^\[(?:{FANSUB_GROUPS})\]"
-ADULT, SOFTWARE, BLOCKED = (f"(?i){words}" for words in (ADULT_WORDS, SOFTWARE_WORDS, BLOCKED_WORDS))
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """What a pattern's top-level bars separate."""
+    out, depth, start, inside, i = [], 0, 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def any_of(pattern: str) -> str:
+    """Matches where any alternative does, in whatever order: those that begin at a word's edge look for it once."""
+    parts = _alternatives(pattern)
+    edge = [p[2:] for p in parts if p.startswith(r"\b")]
+    rest = [p for p in parts if not p.startswith(r"\b")]
+    return "|".join(([rf"\b(?:{'|'.join(edge)})"] if edge else []) + rest)
+
+
+ADULT, SOFTWARE, BLOCKED = (f"(?i){any_of(words)}" for words in (ADULT_WORDS, SOFTWARE_WORDS, BLOCKED_WORDS))
 #: What separates words of a name.
 UNICODE_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _WORD = "[0-9A-Za-z_]"
@@ -59,14 +89,13 @@ _SPACE = r"\t\n\f\r "
 
 
 def either(*patterns: str) -> str:
-    """Any of the patterns, in this order, without regard to case and without their groups."""
-    bare = (re.sub(r"(?<!\\)\((?!\?)", "(?:", p.removeprefix("(?i)")) for p in patterns)
-    return "|".join(f"(?:{p})" for p in bare)
+    """Any of the patterns, without regard to case and without their groups."""
+    return any_of("|".join(re.sub(r"(?<!\\)\((?!\?)", "(?:", p.removeprefix("(?i)")) for p in patterns))
 
 
 def up_to_first(*patterns: str) -> str:
-    """Group 1 is all before the earliest match of any pattern."""
-    return f"(?is)^(.*?)(?:{either(*patterns)})"
+    """Group 1 is all before the earliest match of any pattern, or the whole text."""
+    return f"(?is)^(.*?)(?:{either(*patterns)}|$)"
 
 
 TITLE_CUTS = (EPISODE_CUT, SEASON, SEASON_PACK, YEAR, RESOLUTION, ENCODING, DYNAMIC_RANGE, SOURCE)
@@ -74,13 +103,23 @@ TITLE = up_to_first(*TITLE_CUTS)
 ANIME_TITLE = up_to_first(*TITLE_CUTS, ABSOLUTE_EPISODE)
 
 
+def _edge(before: str, after: str) -> str:
+    """A word edge; one look is enough where what stands beside it is known to be a word's."""
+    known = re.compile(r"[0-9A-Za-z_]|\\[dw]")
+    if known.match(after):
+        return f"(?<!{_WORD})"
+    if re.search(r"(?<!\\)[0-9A-Za-z_]$", before):
+        return f"(?!{_WORD})"
+    return _EDGE
+
+
 def java(pattern: str) -> str:
     """The Java pattern that matches what RE2 matches: ASCII word edges and spaces, the end of text only, Unicode case folding."""
     out, inside, i = ["(?d)"], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b" and not inside:
-            out.append(_EDGE)
+            out.append(_edge(pattern[:i], pattern[i + 2 :]))
         elif two == r"\s":
             out.append(_SPACE if inside else f"[{_SPACE}]")
         elif two == r"\S":

@@ -52,7 +52,7 @@ def clean_utf8(b: Column) -> Column:
 def human_size(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(n >= 1 << (10 * power), F.concat(F.format_number(n / float(1 << (10 * power)), "0.0"), F.lit(" " + unit))).otherwise(out)
+        out = F.when(n >= 1 << (10 * power), F.format_string("%.1f " + unit, n / float(1 << (10 * power)))).otherwise(out)
     return out
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heronlake.functions import ids
 
@@ -56,7 +57,7 @@ def scaled(distance: str, factor: float) -> str:
     return f"{int(int(distance, 16) * Fraction(factor)):040x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def weighted(distance: pd.Series, yields: pd.Series) -> pd.Series:
     """Sort key: the distance times y/(y+1); zero yield leaves it."""
     from heronlake.operators.routing import scaled
