@@ -12,7 +12,8 @@ is contaminated by an item if windows that pass hold :data:`SHARE` of the item's
 Everything is DataFrame operations. Null or empty texts have no tokens; items with fewer
 tokens than a window are one window of their own length if they have
 :data:`LEAST_WORDS` plain words, which every window must have, so that placeholders alone
-match nothing. Repeated items each give pairs; rows with a null id give none, and rows
+match nothing. Names are told by their capitals, so a copy in other case matches only in
+windows without names. Repeated items each give pairs; rows with a null id give none, and rows
 that repeat an id are one document. Other columns are ignored.
 """
 
