@@ -137,7 +137,7 @@ class Trie:
         chance = np.full((size, self.width), 1 / 256)
         chance[:, -1] = others / 256
         base = chance[0].copy()
-        for node, (a, z) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(depth)], strict=True)):
+        for node, (a, z) in enumerate(zip(edge.tolist(), [*edge.tolist()[1:], len(depth)], strict=False)):
             d, c = int(depth[a]), int(context[a])
             node_of[d, c] = node
             if d:
