@@ -456,6 +456,51 @@ def get_peers_replies(spark, sf):
     return messages.get_peers_replies(asked, live, view(spark, sf, "nodes"), F.lit(5), "secret").select("target", "ip", "token", F.size("values").alias("n_values"), F.size("nodes").alias("n_nodes"))
 
 
+_PLACED = "placed AS (SELECT node_id, failure_count, concat('10.0.', CAST(CAST(floor(c_custkey / 256) AS BIGINT) % 256 AS VARCHAR(9)), '.', CAST(c_custkey % 256 AS VARCHAR(9))) AS ip, CAST(1024 + c_custkey % 1000 AS INT) AS port FROM nodes)"
+
+
+def _placed(spark, sf):
+    ip = F.concat(F.lit("10.0."), (F.floor(F.col("c_custkey") / 256) % 256).cast("string"), F.lit("."), (F.col("c_custkey") % 256).cast("string"))
+    return view(spark, sf, "nodes").select("node_id", "failure_count", ip.alias("ip"), (1024 + F.col("c_custkey") % 1000).cast("int").alias("port"))
+
+
+@query(f"""{cte('nodes')}, {_PLACED}, {_TARGETS}, d AS (SELECT target, node_id, ip, port, row_number() OVER (PARTITION BY target ORDER BY {_LIMBS}, node_id) AS rank FROM placed, targets WHERE failure_count < 3) SELECT target, node_id, ip, port, rank FROM d WHERE rank <= 8""")
+def find_node_replies(spark, sf):
+    asked = view(spark, sf, "discovered").select(F.col("infohash").alias("h")).distinct().select(F.struct(F.lit(None).cast("string").alias("target"), F.col("h").alias("info_hash")).alias("a"))
+    sent = messages.find_node_replies(asked, _placed(spark, sf))
+    return sent.select("target", F.posexplode(ids.decode_nodes(F.col("nodes"))).alias("i", "n")).select("target", F.col("n.id").alias("node_id"), "n.addr.ip", "n.addr.port", (F.col("i") + 1).alias("rank"))
+
+
+@query("SELECT event_type, count(*) FILTER (event_id % 4 <> 0 AND event_id % 30 <= 20) AS answered, count(*) AS n FROM events GROUP BY event_type")
+def correlate_replies(spark, sf):
+    e = view(spark, sf, "discovered").join(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type"), "event_id")
+    asked = e.select(F.col("event_id").cast("string").alias("t"), F.col("seen_at").alias("sent_at"), "event_type")
+    told = e.where("event_id % 4 <> 0").select(F.col("event_id").cast("string").alias("t"), (F.col("seen_at") + F.make_dt_interval(secs=(F.col("event_id") % 30).cast("double"))).alias("at"))
+    got = messages.correlate(asked, told, 20).join(asked.select("t", "event_type"), "t")
+    return got.groupBy("event_type").agg(F.count_if("answered").alias("answered"), F.count("*").alias("n"))
+
+
+@query(f"{cte('nodes')}, {_PLACED} SELECT node_id, ip, port, failure_count AS failures FROM placed")
+def node_json(spark, sf):
+    rows = _placed(spark, sf).select("node_id", "ip", "port", now().alias("last_seen"), F.col("failure_count").alias("failures"))
+    return messages.parse_node_json(messages.node_json(rows)).select("node_id", "ip", "port", F.col("failures").cast("long").alias("failures"))
+
+
+@query(f"{cte('discovered')} SELECT DISTINCT infohash, 150 - 150 AS rest FROM discovered")
+def sample_reply(spark, sf):
+    keys = view(spark, sf, "discovered").select("infohash")
+    got = messages.sample_reply(keys)
+    return got.select(F.explode(ids.split_samples(F.col("samples"))).alias("infohash"), (F.col("num") - F.size(ids.split_samples(F.col("samples")))).cast("int").alias("rest"))
+
+
+@query("SELECT event_type AS y, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def route_messages(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    m = e.select(F.when(F.col("event_type") == "click", "q").when(F.col("event_type") == "view", "r").otherwise("z").alias("y"), F.lit("ping").alias("q"), "event_type")
+    parts = messages.routed(m)
+    return parts["queries"].union(parts["transactions"]).groupBy(F.col("event_type").alias("y")).agg(F.count("*").alias("n"))
+
+
 # --- streams, as batches ------------------------------------------------------
 @query("""WITH RECURSIVE d AS (SELECT user_id, floor(epoch(ts) / 1800)::BIGINT AS w, min(ts) AS ts FROM events GROUP BY 1, 2),
 walk AS (SELECT user_id, min(w) AS w FROM d GROUP BY user_id UNION ALL SELECT walk.user_id, (SELECT min(d.w) FROM d WHERE d.user_id = walk.user_id AND d.w >= walk.w + 2) FROM walk WHERE (SELECT min(d.w) FROM d WHERE d.user_id = walk.user_id AND d.w >= walk.w + 2) IS NOT NULL)
