@@ -7,6 +7,7 @@ column's buffer, so no Python object is made per word. Texts are never shortened
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 21  # text handled at a time; a longer document makes a slice of its own
+SLICE_BYTES = 1 << 20  # text handled at a time; a longer document makes a slice of its own
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -144,3 +145,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         held += n
     if at < batch.num_rows:
         yield batch.slice(at)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, since a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -33,9 +33,11 @@ from heronlake.llm import _components, _store
 from heronlake.llm import _words as W
 
 BUCKET_BITS, SLICE_BITS = 20, 12  # of the frequency table, and of the pieces in which it is summed
-PATH = 8  # shingles of a set that the trie holds below a branch
+TAIL = 8  # shingles kept beyond a prefix
+PATH = 24  # shingles of a set that the trie holds below a branch
 BLOCK = 1024  # sets of a branch that are walked together
-BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be sent to all executors
+SKETCH_BITS = 8  # of the hash, for counts that bound an overlap before whole sets are compared
+BROADCAST_IDS = 1_000_000  # ids or pairs (8 bytes an id) that may be sent to all executors
 
 
 def _sets(part: pa.RecordBatch, text: str, k: int) -> Iterator[np.ndarray]:
@@ -112,7 +114,7 @@ def prefixes(docs: DataFrame, freq, k: int, num: int, den: int) -> DataFrame:
                     length = _prefix_length(len(s), num, den)
                     p.append(length)
                     lead.append(int(f[order[0]]))
-                    tokens.append(s[order[: length + PATH]])
+                    tokens.append(s[order[: length + TAIL]])
                 ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
                 values = pa.array(_signed(np.concatenate([*tokens, np.zeros(0, W.U)])))
                 yield pa.RecordBatch.from_arrays(
@@ -124,7 +126,7 @@ def prefixes(docs: DataFrame, freq, k: int, num: int, den: int) -> DataFrame:
 
 
 def _ids(df: DataFrame) -> DataFrame:
-    """An id table, marked for broadcast only if it is counted to be small."""
+    """A table of ids or pairs, marked for broadcast only if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
@@ -134,26 +136,47 @@ def _need(num: int, den: int, a, b):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, str]:
-    """The pairs ``a, b`` whose whole sets reach the threshold."""
-    schema = "id long, grams array<long>"
+    """The pairs ``a, b`` whose whole sets reach the threshold.
+
+    Shingles counted by a few bits of their hash bound the overlap; only pairs that pass
+    that bound bring their whole sets together.
+    """
+    schema = "id long, n int, sketch array<short>, grams array<long>"
+    wide = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 sets = list(_sets(part, "text", k))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                values = pa.array(_signed(np.concatenate([*sets, np.zeros(0, W.U)])))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, pa.list_(pa.int64()))], names=["id", "grams"])
-
-    used = _ids(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(used, "id", "left_semi")
-    sets, path = _store.kept_table(texts.mapInArrow(run, schema), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+                sizes = np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate([*sets, np.zeros(0, W.U)])
+                cell = np.repeat(np.arange(len(sets)), sizes) << SKETCH_BITS | (flat & W.U(wide - 1)).astype(np.int64)
+                # A count over the type's range stands for any number.
+                counts = np.minimum(np.bincount(cell, minlength=len(sets) << SKETCH_BITS), 32767).astype(np.int16)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * wide, pa.int32()), pa.array(counts)),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(_signed(flat)))],
+                    names=["id", "n", "sketch", "grams"],
+                )
+
+    ends = (("a", "x"), ("b", "y"))
+    both_ids = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_ids(both_ids(pairs)), "id", "left_semi")
+    sets, sets_at = _store.kept_table(texts.mapInArrow(run, schema), "sets")
+    close = _ids(pairs)
+    for end, other in ends:
+        close = close.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n{other}"), F.col("sketch").alias(other)), end)
+    least = F.zip_with("x", "y", lambda p, q: F.least(p, q).cast("int"))
+    most = F.when(F.array_max(least) < 32767, F.aggregate(least, F.lit(0), lambda p, q: p + q)).otherwise(F.least("nx", "ny"))
+    close, close_at = _store.kept_table(close.where(most >= _need(num, den, F.col("nx"), F.col("ny"))).select("a", "b"), "close")
+    grams = sets.join(_ids(both_ids(close)), "id", "left_semi").select("id", "grams")
+    links = _ids(close)
+    for end, other in ends:
+        links = links.join(grams.select(F.col("id").alias(end), F.col("grams").alias(other)), end)
     shared = F.size(F.array_intersect("x", "y"))
-    links, there = _store.kept_table(both.where(den * shared >= num * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), "links")
-    _store.drop(docs.sparkSession, path)
-    return links, there
+    links, links_at = _store.kept_table(links.where(den * shared >= num * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), "links")
+    _store.drop(docs.sparkSession, sets_at, close_at)
+    return links, links_at
 
 
 def hub_pairs(branches: DataFrame, num: int, den: int) -> DataFrame:
@@ -228,10 +251,10 @@ class _Trie:
             self.found.append((min(self.id[x], self.id[y]), max(self.id[x], self.id[y])))
 
 
-def trie_pairs(branches: DataFrame, freq, num: int, den: int) -> DataFrame:
-    """Pairs of unconnected sets that a branch's trie cannot rule out. ``branches``: ``token, id, n, pos, comp, path``."""
+def trie_pairs(branches: DataFrame, sets: DataFrame, freq, num: int, den: int) -> DataFrame:
+    """Pairs of unconnected sets that a branch's trie cannot rule out. ``branches``: ``token, id, n, pos, comp``; ``sets``: ``id, tokens``."""
     many = branches.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token", "rows")
-    rows = branches.join(many, "token")
+    rows = branches.join(many, "token").join(sets.select("id", "tokens"), "id").withColumn("path", F.slice("tokens", F.col("pos") + 2, F.lit(PATH))).drop("tokens")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -280,23 +303,21 @@ def digest(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     classes = all_rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.when(F.col("p") > 0, F.col("doc_id"))).alias("rep"), F.min("doc_id").alias("least"))
     classes, classes_at = _store.kept_table(classes, "classes")
     sets, sets_at = _store.kept_table(all_rows.where("p > 0").join(classes.select(F.col("rep").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "lead", "p", "tokens"), "sets")
-    heads = sets.select("id", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("pos", "token"))
-    shared, shared_at = _store.kept_table(heads.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token"), "shared")
-    met = heads.join(shared, "token").groupBy("id").agg(F.collect_list("pos").alias("at"))  # at most a prefix long
-    branches = sets.join(met, "id").select("id", "n", "lead", "tokens", F.explode("at").alias("pos"))
-    branches = branches.select(F.element_at("tokens", F.col("pos") + 1).alias("token"), "id", "n", "lead", "pos", F.slice("tokens", F.col("pos") + 2, F.lit(PATH)).alias("path"))
-    branches, branches_at = _store.kept_table(branches, "branches")
-    _store.drop(spark, sets_at, shared_at)
+    heads = sets.select("id", "n", "lead", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("pos", "token"))
+    # Of two sets the smaller one has the branch among even fewer first shingles; a branch that none has so early links nothing.
+    early = F.col("pos") <= F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(num + den))
+    shared = heads.groupBy("token").agg(F.count("*").alias("rows"), F.bool_or(early).alias("early")).where("rows > 1 AND early").select("token")
+    branches, branches_at = _store.kept_table(heads.join(shared, "token"), "branches")
 
     hubs, hubs_at = _store.kept_table(hub_pairs(branches, num, den), "hubs")
     links, links_at = verified(docs, hubs, k, num, den)
     joined, joined_at = _components.components(links)
     known = branches.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    rest, rest_at = _store.kept_table(trie_pairs(known, freq, num, den), "candidates")
+    rest, rest_at = _store.kept_table(trie_pairs(known, sets, freq, num, den), "candidates")
     more, more_at = verified(docs, rest, k, num, den)
     same = classes.where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     final, _ = _components.components(joined.toDF("a", "b").union(more).union(same))
-    _store.drop(spark, branches_at, hubs_at, links_at, joined_at, rest_at, more_at)
+    _store.drop(spark, sets_at, branches_at, hubs_at, links_at, joined_at, rest_at, more_at)
 
     to = final.withColumnRenamed("node", "least")
     named = classes.join(to, "least", "left").select("n", "f1", "f2", F.coalesce("component", "least").alias("of_class"))
@@ -310,3 +331,17 @@ def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     names = digest(docs, k, num, den)
     gone, _ = _store.kept_table(names.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(_ids(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= 90 * (i.n + j.n - c)),
+ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, ways.b FROM reach JOIN ways ON reach.r = ways.a)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id FROM n JOIN reach ON d = doc_id GROUP BY 1, 2
+"""
