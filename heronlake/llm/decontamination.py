@@ -129,3 +129,22 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
     bad = _sized(pairs(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
     return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+
+
+_TEMPLATE = "list_transform(toks, lambda t, i: CASE WHEN t >= '0' AND t < ':' THEN '#n' WHEN lower(t) <> t THEN '#p' WHEN lower(t) IN (" + ", ".join(f"'{u}'" for u in UNITS) + ") AND i > 1 AND toks[i - 1] >= '0' AND toks[i - 1] < ':' THEN '#u' ELSE lower(t) END)"
+ORACLE = f"""
+WITH i0 AS (SELECT item_id, regexp_extract_all(text, '{TOKEN}') AS toks FROM benchmark WHERE item_id IS NOT NULL),
+i1 AS (SELECT item_id, toks, {_TEMPLATE} AS tmpl, least(len(toks), {WINDOW}) AS size FROM i0 WHERE len(toks) >= {LEAST_WORDS}),
+known AS (SELECT * FROM (SELECT item_id, size, i - 1 AS place, toks[i:i + size - 1] AS asked, tmpl[i:i + size - 1] AS t FROM (SELECT *, unnest(range(1, len(toks) - size + 2)) AS i FROM i1))
+  WHERE len(list_filter(t, lambda x: NOT starts_with(x, '#'))) >= {LEAST_WORDS}),
+totals AS (SELECT item_id, count(DISTINCT place) AS item_windows FROM known GROUP BY 1),
+d0 AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS toks FROM documents WHERE doc_id IS NOT NULL),
+d1 AS (SELECT doc_id, toks, {_TEMPLATE} AS tmpl FROM d0),
+d2 AS (SELECT doc_id, size, i - 1 AS pos, toks[i:i + size - 1] AS here, tmpl[i:i + size - 1] AS t FROM (SELECT *, unnest(range(1, len(toks) - size + 2)) AS i FROM d1, (SELECT DISTINCT size FROM known))),
+hits AS (SELECT doc_id, item_id, place, pos - place AS off, size, asked, here, t FROM d2 JOIN known USING (size, t)),
+slots AS (SELECT doc_id, item_id, off, t[k] AS kind, asked[k] AS asked, here[k] AS here FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM hits) WHERE starts_with(t[k], '#')),
+vals AS (SELECT doc_id, item_id, off, kind, asked, count(DISTINCT here) AS n, bool_or(here <> asked) AS changed FROM slots GROUP BY ALL),
+fits AS (SELECT doc_id, item_id, off, coalesce(max(n), 0) AS most, count(asked) AS n_slots, count(*) FILTER (changed) AS n_changed FROM (SELECT DISTINCT doc_id, item_id, off FROM hits) LEFT JOIN vals USING (doc_id, item_id, off) GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, count(DISTINCT place) AS n_windows, item_windows, max(n_slots) AS n_slots, min(n_changed) AS n_changed
+FROM hits JOIN fits USING (doc_id, item_id, off) JOIN totals USING (item_id) WHERE most <= 1 GROUP BY doc_id, item_id, item_windows HAVING count(DISTINCT place) >= {SHARE} * item_windows
+"""

@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op8_warc_zip": warc_zip.ORACLE}
+    return {"op1_decontamination": decontamination.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op5_mixing": mixing.ORACLE, "op8_warc_zip": warc_zip.ORACLE}
