@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 _own = ""
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch sent to Python; a longer document makes a batch of its own
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes: 10,000 whole texts at once fill the JVM's and the worker's memory. A lower bound stays."""
+    spark = df.sparkSession
+    now = spark.conf.get(_BATCH).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/heronlake/{name}-{uuid.uuid4().hex}"

@@ -296,7 +296,7 @@ def trie_pairs(branches: DataFrame, sets: DataFrame, freq, num: int, den: int) -
 
 def digest(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: sets of ``k``-word shingles link at a Jaccard similarity of num/den."""
-    spark = docs.sparkSession
+    spark = _store.small_batches(docs).sparkSession
     freq = spark.sparkContext.broadcast(frequencies(docs, k))
     all_rows, _ = _store.kept_table(prefixes(docs, freq, k, num, den), "prefixes")
     # Classes of equal sets; a class is represented by the least id that brought its shingles.

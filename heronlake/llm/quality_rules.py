@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heronlake.llm import _store
 from heronlake.llm import _words as W
 
 #: Counts over the whole text; the first five are the base measures.
@@ -97,7 +98,7 @@ def measures(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Da
                 got = measure(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in own] + [pa.array(got[m], pa.int64()) for m in MEASURES], names=[*own, *MEASURES])
 
-    return docs.select(*dict.fromkeys([*own, text])).mapInArrow(run, schema)
+    return _store.small_batches(docs).select(*dict.fromkeys([*own, text])).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
