@@ -190,6 +190,23 @@ def test_model_scores(spark):
         assert got[i].score == pytest.approx(score(stream(t)), rel=1e-4, abs=1e-4)
 
 
+def test_model_keeps_rare_contexts(monkeypatch, spark):
+    """More contexts than any fixed table held, most of them seen once; and grams that are not sent to the tasks."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(60))) for i in range(600)]
+    stream = lambda t: b"".join(w + b" " for w in t.encode().translate(LOW).split()) + b"\xff"
+    learnt = [stream(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    score = plain_ppm(learnt, ppm.ORDER)
+    assert len({(k, s[i - k : i]) for s in learnt for k in range(ppm.ORDER + 1) for i in range(k, len(s))}) > 1 << 16
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    got = {x.doc_id: x.score for x in ppm.digest(df).collect()}
+    assert all(got[i] == pytest.approx(score(stream(t)), rel=1e-6) for i, t in rows)
+    monkeypatch.setattr(ppm, "WAYS", 0)
+    joined = {x.doc_id: x.score for x in ppm.digest(df).collect()}
+    assert joined == pytest.approx(got, rel=1e-9)
+
+
 def test_chances_sum_to_one():
     t = ppm.Trie(np.zeros(5, np.int64), np.zeros(5, np.int64), np.array([97, 98, 99, 32, 255]), np.array([5, 3, 1, 4, 2]))
     others = 256 - (t.width - 1)
