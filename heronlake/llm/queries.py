@@ -28,7 +28,7 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_labels.digest(_table(spark, sf_dir, "documents"))
+    return weak_labels.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,18 @@
 Overlapping heuristics vote on each document: 1, 0 or no vote. The votes are counted by
 pattern over all documents (at most three to the number of labellers rows), and
 expectation-maximisation on those counts estimates each labeller's votes in either class
-and the share of the class, without any true label. Posteriors of a bounded, documented
+and the share of the class, without any true label. One labeller of abuse knows words
+that a bounded sample of true labels shows to be abusive, language by language
+(:func:`learn_words`), since the fixed lists are English; it is weighed as the others are.
+Posteriors of a bounded, documented
 sample of documents train a logistic scorer on hashed words and binned measures, which
 then scores every whole text.
 
 Two such models run side by side, for low quality and for abuse. Null and empty texts
 have no words; heuristics that need words then have no vote. Repeated rows and ids are
 scored each by itself; null ids are scored too, and never train. An empty table gives no
-rows. Other columns are ignored.
+rows. Labels with a null, of unknown documents or contradicting each other teach no words;
+a document without a language is of one of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,8 @@ from heronlake.llm import _words as W
 from heronlake.llm.quality_rules import MEASURES, measure
 
 SAMPLE_DOCS = 6_000  # the most documents that the scorers are trained on
+SAMPLE_LABELS = 4_000  # the most labelled documents of a language that words are learnt from, but for chance
+LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 8.0, 15.0  # a learnt word's abusive documents, how much commoner it is in these, and its log-likelihood ratio
 FEATURE_BITS = 20
 #: Words of abuse, and words that belittle.
 ABUSE = "idiot idiots moron morons scum trash loser losers clown clowns imbecile bastard bastards cretin vermin filth garbage fool fools jerk dumbass".split()
@@ -65,11 +72,12 @@ def quality_votes() -> dict[str, Column]:
 
 
 def abuse_votes() -> dict[str, Column]:
-    total = F.col("n_abuse") + F.col("n_belittle")
+    total = F.col("n_marked")
     no = F.lit(False)
     return {
         "abuse": _vote(F.col("n_abuse") > 0, no),
         "belittle": _vote(F.col("n_belittle") > 0, no),
+        "learnt": _vote(F.col("n_learnt") > 0, no),
         "dense": _vote((total > 0) & (1000 * total >= 3 * F.col("n_words")), total == 0),
         "often": _vote(total >= 2, total == 0),
     }
@@ -111,10 +119,41 @@ def _bare(w: W.Words) -> np.ndarray:
     return w.hashes(w.start, w.end - mark)
 
 
-def _in_words(w: W.Words, bare: np.ndarray, listed: list[str]) -> np.ndarray:
-    """How many words of each text are in a list."""
-    own = W.words(pa.array([" ".join(listed)]))
-    return np.bincount(w.doc[np.isin(bare, own.hashes(own.start, own.end))], minlength=w.n_docs)
+def _hashed(listed: list[str]) -> np.ndarray:
+    w = W.words(pa.array([" ".join(listed)]))
+    return w.hashes(w.start, w.end)
+
+
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
+def learn_words(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_LABELS) -> dict[str, np.ndarray]:
+    """By language, hashes of the words that mark abuse in a sample of about ``most`` labelled documents (all, if there are fewer)."""
+    told = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs).alias("lang"), "text")
+    known = texts.select("doc_id", "lang").join(told, "doc_id")
+    share = F.least(F.lit(1 << 20), F.floor(F.lit(most << 20) / F.col("n")))
+    sampled = known.join(F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 20)) < share)
+    texts = texts.join(F.broadcast(sampled.select("doc_id", "toxic").distinct()), "doc_id").select("lang", "toxic", "text")  # some ``most`` rows a language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                w = W.words(part.column("text"), lower=True)
+                got = pa.table({"doc": np.concatenate([w.doc, np.arange(w.n_docs)]), "word": np.concatenate([_bare(w).view(np.int64), np.zeros(w.n_docs, np.int64)])}).group_by(["doc", "word"]).aggregate([])
+                rows = got.column("doc").combine_chunks()
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(rows), part.column("toxic").take(rows).cast(pa.int32()), got.column("word").combine_chunks()], names=["lang", "toxic", "word"])
+
+    # Word 0 is every document's own.
+    counts = texts.mapInArrow(run, "lang string, toxic int, word long").groupBy("lang", "word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    got = counts.join(F.broadcast(counts.where("word = 0").select("lang", F.col("a").alias("all_a"), F.col("b").alias("all_b"))), "lang").where((F.col("word") != 0) & (F.col("a") >= LEAST_DOCS))
+    rate = (F.col("a") + F.col("b")) / (F.col("all_a") + F.col("all_b"))
+    likely = lambda k, n: k * F.log(k / (n * rate))
+    g = 2 * (likely(F.col("a"), F.col("all_a")) + F.when(F.col("b") > 0, likely(F.col("b"), F.col("all_b"))).otherwise(0.0))
+    ratio = ((F.col("a") + 0.5) / (F.col("all_a") + 1)) / ((F.col("b") + 0.5) / (F.col("all_b") + 1))
+    got = got.where((ratio >= LEAST_RATIO) & (g >= LEAST_G)).select("lang", "word").toPandas()
+    return {k: np.sort(v["word"].to_numpy(np.int64)).view(W.U) for k, v in got.groupby("lang")}
 
 
 def features(texts: pa.Array, got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,32 +198,39 @@ def train(index: np.ndarray, doc: np.ndarray, value: np.ndarray, target: np.ndar
     return weight, float(bias)
 
 
-_COUNTS = ("n_abuse", "n_belittle")
+_COUNTS = ("n_abuse", "n_belittle", "n_learnt", "n_marked")
 
 
-def _measured(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+def _measured(part: pa.RecordBatch, learnt: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Measures, how many words are in each list, and how many in any."""
     got = measure(part.column("text"))
     w = W.words(part.column("text"), lower=True)
     h = _bare(w)
-    return got | {"n_abuse": _in_words(w, h, ABUSE), "n_belittle": _in_words(w, h, BELITTLE)}
+    of = {"n_abuse": np.isin(h, _hashed(ABUSE)), "n_belittle": np.isin(h, _hashed(BELITTLE)), "n_learnt": np.zeros(len(h), bool)}
+    for lang in part.column("lang").unique().to_pylist() if learnt else []:
+        if lang in learnt:
+            own = np.asarray(pc.equal(part.column("lang"), lang))[w.doc]
+            of["n_learnt"][own] = np.isin(h[own], learnt[lang])
+    of["n_marked"] = of["n_abuse"] | of["n_belittle"] | of["n_learnt"]
+    return got | {k: np.bincount(w.doc[v], minlength=w.n_docs) for k, v in of.items()}
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+def _counted(docs: DataFrame, learnt: dict[str, np.ndarray]) -> DataFrame:
     names = (*MEASURES, *_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                got = _measured(part)
+                got = _measured(part, learnt)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[m], pa.int64()) for m in names)], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs).alias("lang"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in names))
 
 
-def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[dict[str, Model], list[tuple[np.ndarray, float]]]:
+def fit(docs: DataFrame, learnt: dict[str, np.ndarray], most: int = SAMPLE_DOCS) -> tuple[dict[str, Model], list[tuple[np.ndarray, float]]]:
     """The label models by task, and a scorer for each."""
     tasks = {"low": quality_votes(), "abusive": abuse_votes()}
-    table, path = _store.kept_table(_counted(docs), "measures")
+    table, path = _store.kept_table(_counted(docs, learnt), "measures")
     models = {}
     for task, votes in tasks.items():
         rows = table.groupBy(*(v.alias(k) for k, v in votes.items())).agg(F.count("*").alias("n")).toPandas().sort_values(list(votes))  # one row a pattern
@@ -196,7 +242,7 @@ def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[dict[str, Model], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                got = _measured(part)
+                got = _measured(part, learnt)
                 index, doc, count = features(part.column("text"), got)
                 order = np.argsort(doc, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))])
@@ -204,7 +250,7 @@ def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[dict[str, Model], lis
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (index[order].astype(np.int32), values)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists, *(pa.array(got[m], pa.int64()) for m in (*MEASURES, *_COUNTS))], names=["doc_id", "index", "value", *MEASURES, *_COUNTS])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()).where(pick)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs).alias("lang"), "text").where(F.col("doc_id").isNotNull()).where(pick)
     sample = picked.mapInArrow(run, "doc_id long, index array<int>, value array<double>, " + ", ".join(f"{m} long" for m in (*MEASURES, *_COUNTS)))
     got = sample.select("doc_id", "index", "value", *(v.alias(f"{t}_{k}") for t, votes in tasks.items() for k, v in votes.items())).toPandas().sort_values("doc_id", ignore_index=True)
     _store.drop(docs.sparkSession, path)
@@ -215,9 +261,9 @@ def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[dict[str, Model], lis
     return models, [train(index, doc, value, models[t].posterior(got[[f"{t}_{k}" for k in votes]].to_numpy(np.int64))) for t, votes in tasks.items()]
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``doc_id, quality_score, quality, abuse_score, toxic, kept`` of every row: chances of good quality and of abuse, and the verdicts at one half."""
-    models, scorers = fit(docs)
+    models, scorers = fit(docs, learn_words(docs, labels) if labels is not None else {})
     sent = docs.sparkSession.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in scorers])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,33 @@ def test_weak_labels_held_out(spark):
     assert sum((r.toxic == 1) == (truth[r.doc_id] == 1) for r in got) > 880
 
 
+def test_weak_labels_learn_other_languages(spark):
+    """Abuse in a language that no list covers, told by the labels of every third document."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(12)
+    rows, labels, truth = [], [], {}
+    for i in range(1200):
+        w = prose(r, r.randrange(60, 120)).split()
+        lang, bad = ("en", "fr", None)[i % 3], i % 8 == 0
+        for _ in range(3 if bad else 0):
+            w.insert(r.randrange(len(w)), r.choice({"en": ["idiot", "scum", "vile"], "fr": ["crétin.", "salaud", "minable"]}.get(lang, ["idiot", "scum"])))
+        rows.append((i, " ".join(w), lang))
+        truth[i] = bad
+        if i // 3 % 3 == 0:
+            labels.append((i, 1, int(bad)))
+    labels += [(None, 1, 1), (3, 1, None), (5000, 1, 1), (4, 1, 0), (4, 1, 1)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learnt = weak_labels.learn_words(docs, told)
+    assert set(weak_labels._hashed(["crétin", "salaud", "minable"])) <= set(learnt["fr"]) and len(learnt["fr"]) < 6
+    got = weak_labels.digest(docs, told).collect()
+    assert sum(r.toxic == 1 for r in got if truth[r.doc_id]) >= 0.97 * sum(truth.values())
+    assert sum(r.toxic == 1 for r in got if not truth[r.doc_id]) <= 0.03 * len(rows)
+    assert weak_labels.learn_words(docs, told.limit(0)) == {}
+
+
 def test_hash_is_the_same_elsewhere(spark):
     import hashlib
 
