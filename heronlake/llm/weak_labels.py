@@ -8,7 +8,8 @@ that a bounded sample of true labels shows to be abusive, language by language
 (:func:`learn_words`), since the fixed lists are English; it is weighed as the others are.
 Posteriors of a bounded, documented
 sample of documents train a logistic scorer on hashed words and binned measures, which
-then scores every whole text.
+then scores every whole text. The chance of abuse is the scorer's or that by the
+document's own votes, whichever is more, so that length dilutes no listed word.
 
 Two such models run side by side, for low quality and for abuse. Null and empty texts
 have no words; heuristics that need words then have no vote. Repeated rows and ids are
@@ -34,7 +35,7 @@ from heronlake.llm.quality_rules import MEASURES, measure
 
 SAMPLE_DOCS = 6_000  # the most documents that the scorers are trained on
 SAMPLE_LABELS = 4_000  # the most labelled documents of a language that words are learnt from, but for chance
-LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 8.0, 15.0  # a learnt word's abusive documents, how much commoner it is in these, and its log-likelihood ratio
+LEAST_DOCS, LEAST_RATIO, LEAST_G = 3, 20.0, 15.0  # a learnt word's abusive documents, how much commoner it is in these, and its log-likelihood ratio
 FEATURE_BITS = 20
 #: Words of abuse, and words that belittle.
 ABUSE = "idiot idiots moron morons scum trash loser losers clown clowns imbecile bastard bastards cretin vermin filth garbage fool fools jerk dumbass".split()
@@ -77,7 +78,7 @@ def abuse_votes() -> dict[str, Column]:
     return {
         "abuse": _vote(F.col("n_abuse") > 0, no),
         "belittle": _vote(F.col("n_belittle") > 0, no),
-        "learnt": _vote(F.col("n_learnt") > 0, no),
+        "learnt": _vote(F.col("n_learnt") >= 2, total == 0),
         "dense": _vote((total > 0) & (1000 * total >= 3 * F.col("n_words")), total == 0),
         "often": _vote(total >= 2, total == 0),
     }
@@ -167,6 +168,8 @@ def features(texts: pa.Array, got: dict[str, np.ndarray]) -> tuple[np.ndarray, n
     for i, (over, under) in enumerate(BINNED.values()):
         level = np.log2(1.0 + 1000 * got[over] / np.maximum(got[under], 1)).astype(np.int64)
         bins.append(np.uint64(1_000_003) * W.U(i + 1) + level.astype(W.U))
+    for i, name in enumerate(_COUNTS):
+        bins.append(np.uint64(1_000_003) * W.U(len(BINNED) + i + 1) + np.log2(1.0 + got[name]).astype(W.U))
     extra = (W.mix(np.concatenate(bins), 31) >> W.U(64 - FEATURE_BITS)).astype(np.int64)
     return np.concatenate([index, extra]), np.concatenate([doc, np.tile(np.arange(w.n_docs), len(bins))]), n
 
@@ -261,19 +264,31 @@ def fit(docs: DataFrame, learnt: dict[str, np.ndarray], most: int = SAMPLE_DOCS)
     return models, [train(index, doc, value, models[t].posterior(got[[f"{t}_{k}" for k in votes]].to_numpy(np.int64))) for t, votes in tasks.items()]
 
 
+def _chance(model: Model, votes: dict[str, Column]) -> Column:
+    """A document's posterior of class 1 by its own votes, as :meth:`Model.posterior` has it."""
+    logs = np.log(model.chance[1] / model.chance[0])
+    total = sum((F.get(F.array(*(F.lit(float(x)) for x in logs[j])), v) for j, v in enumerate(votes.values())), F.lit(float(np.log(model.share / (1 - model.share)))))
+    return 1 / (1 + F.exp(-total))
+
+
 def digest(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``doc_id, quality_score, quality, abuse_score, toxic, kept`` of every row: chances of good quality and of abuse, and the verdicts at one half."""
-    models, scorers = fit(docs, learn_words(docs, labels) if labels is not None else {})
+    learnt = learn_words(docs, labels) if labels is not None else {}
+    models, scorers = fit(docs, learnt)
     sent = docs.sparkSession.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in scorers])
+    names = (*MEASURES, *_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                index, doc, n = features(part.column("text"), measure(part.column("text")))
+                got = _measured(part, learnt)
+                index, doc, n = features(part.column("text"), got)
                 value = _values(index, doc, n)
                 out = [1 / (1 + np.exp(-(np.bincount(doc, weights=w[index] * value, minlength=part.num_rows) + b))) for w, b in sent.value]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 - out[0]), pa.array(out[1])], names=["doc_id", "quality_score", "abuse_score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in out), *(pa.array(got[m], pa.int64()) for m in names)], names=["doc_id", "low", "abusive", *names])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality_score double, abuse_score double")
+    rows = docs.select("doc_id", _lang(docs).alias("lang"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, low double, abusive double, " + ", ".join(f"{m} long" for m in names))
+    rows = rows.select("doc_id", "low", "abusive", _chance(models["abusive"], abuse_votes()).alias("voted"))
+    rows = rows.select("doc_id", (1 - F.col("low")).alias("quality_score"), F.greatest("abusive", "voted").alias("abuse_score"))
     good, toxic = F.col("quality_score") >= 0.5, F.col("abuse_score") >= 0.5
     return rows.select("doc_id", "quality_score", good.cast("int").alias("quality"), "abuse_score", toxic.cast("int").alias("toxic"), (good & ~toxic).alias("kept"))

@@ -198,6 +198,29 @@ def test_weak_labels_learn_other_languages(spark):
     assert weak_labels.learn_words(docs, told.limit(0)) == {}
 
 
+def test_weak_labels_of_long_texts(monkeypatch, spark):
+    """Listed words count among thousands of others, even where the scorer sees nothing."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    r = random.Random(14)
+    rows = []
+    for i in range(600):
+        w = prose(r, r.randrange(60, 120)).split()
+        if i % 10 == 0:
+            w[::20] = ["idiot", "scum", "vile", "pathetic", "moron", "trash"][: len(w[::20])]
+        rows.append((i, " ".join(w)))
+    for i in range(600, 630):
+        w = [f"{r.choice('abcdefgh')}{r.randrange(10**6)}word" for _ in range(12_000)]
+        if i % 6 == 0:
+            w[500], w[7000] = "idiot", "vile"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(weak_labels, "train", lambda *_: (np.zeros(1 << weak_labels.FEATURE_BITS), -5.0))
+    got = {r.doc_id: r for r in weak_labels.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].toxic for i in range(600, 630)] == [int(i % 6 == 0) for i in range(600, 630)]
+
+
 def test_hash_is_the_same_elsewhere(spark):
     import hashlib
 
