@@ -13,7 +13,8 @@ Everything is DataFrame operations. Null or empty texts have no tokens; items wi
 tokens than a window are one window of their own length if they have
 :data:`LEAST_WORDS` plain words, which every window must have, so that placeholders alone
 match nothing. Names are told by their capitals, so a copy in other case matches only in
-windows without names. Repeated items each give pairs; rows with a null id give none, and rows
+windows without names; :func:`clean` also seeks case-folded literal windows
+(:func:`literal_pairs`), which :func:`pairs` and its SQL leave out. Repeated items each give pairs; rows with a null id give none, and rows
 that repeat an id are one document. Other columns are ignored.
 """
 
@@ -125,9 +126,36 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def literal_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, n_windows, item_windows``: documents with :data:`SHARE` of an item's windows word for word, in any case.
+
+    Every token counts, names and numbers too, so a window needs no plain words; items of :data:`LEAST_WORDS` tokens or more are sought.
+    """
+    hashed = lambda df, key: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.transform(tokens(F.lower("text")), lambda t: F.xxhash64(t)).alias("hashes"))
+    items = hashed(benchmark, "item_id").withColumn("size", F.least(F.size("hashes"), F.lit(WINDOW))).where(F.col("size") >= LEAST_WORDS)
+    sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # at most WINDOW - LEAST_WORDS + 1 rows
+    texts = hashed(docs, "doc_id")
+    known = seen = None
+    for size in sizes or [WINDOW]:
+        w = items.where(F.col("size") == size).select("item_id", F.lit(size).alias("size"), F.posexplode(window_hashes(F.col("hashes"), F.size("hashes"), size)).alias("at", "hash"))
+        known = w if known is None else known.union(w)
+    known, known_at = _store.kept_table(known, "literal-windows")
+    keys = _sized(known.select("hash", "size").distinct())
+    for size in sizes or [WINDOW]:
+        rows = texts.select("doc_id", F.explode(window_hashes(F.col("hashes"), F.size("hashes"), size)).alias("hash")).withColumn("size", F.lit(size))
+        rows = rows.join(keys, ["hash", "size"], "left_semi").distinct()
+        seen = rows if seen is None else seen.union(rows)
+    totals = known.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
+    out = seen.join(known, ["hash", "size"]).groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_windows")).join(totals, "item_id").where(F.col("n_windows") >= SHARE * F.col("item_windows"))
+    out, _ = _store.kept_table(out.select("doc_id", "item_id", "n_windows", "item_windows"), "literal")
+    _store.drop(docs.sparkSession, known_at)
+    return out
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates."""
-    bad = _sized(pairs(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
+    """The rows of ``docs`` that no item contaminates, by templates or word for word in any case."""
+    found = pairs(docs, benchmark).select("doc_id").union(literal_pairs(docs, benchmark).select("doc_id"))
+    bad = _sized(found.select(F.col("doc_id").alias("__bad")).distinct())
     return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
 
 

@@ -123,6 +123,17 @@ def test_leaks(spark, odd):
     assert decontamination.pairs(odd, bench).count() == 0
 
 
+def test_clean_in_any_case(spark):
+    """Copies in another case, of names and numbers alone, and with one of two equal names altered."""
+    twice = "The old miller of Arden sold eleven sacks of white flour to the baker and The young sailor carried them to a ship that waited in the harbour"
+    bench = spark.createDataFrame([(1, QUESTION), (2, "What Is The Capital Of New South Wales In 1901"), (3, twice), (4, None)], "item_id long, text string")
+    filler = "some words before it that do not matter at all here "
+    texts = [QUESTION.upper(), QUESTION.lower(), filler + QUESTION.title(), "WHAT IS THE CAPITAL OF NEW SOUTH WALES IN 1901", "What Is The Capital Of New South Wales In 1901", filler + twice.replace("The young", "One young"), filler * 3, QUESTION[:40].upper() + " " + filler, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {6, 7, 8, 9}
+    assert decontamination.clean(docs, bench.limit(0)).count() == len(texts)
+
+
 def test_slots_must_agree(spark):
     """The same template with one slot meaning two things is another text."""
     item = "Take 5 coins and add 5 coins to the large red box before you count all 5 coins again with care"
