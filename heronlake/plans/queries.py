@@ -442,10 +442,11 @@ def routing_replay(spark, sf):
 @query()
 def iterative_lookup(spark, sf):
     nodes = view(spark, sf, "nodes")
-    answers = nodes.select("node_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.col("c_custkey") * 31 + i * i * 17) % 1500)).alias("k"))
+    n = max(nodes.count(), 1)
+    answers = nodes.select("node_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.col("c_custkey") * 31 + i * i * 17) % n + 1)).alias("k"))  # keys are 1 to n
     answers = answers.join(nodes.select(F.col("c_custkey").alias("k"), F.col("node_id").alias("found_id")), "k").select("node_id", "found_id")
     starts = view(spark, sf, "discovered").select(F.col("infohash").alias("target")).distinct().crossJoin(nodes.orderBy("c_custkey").limit(3).select("node_id"))  # three seeds
-    return lookup.iterate(starts, answers, rounds=6)
+    return lookup.iterate(starts, answers)
 
 
 @query()

@@ -206,3 +206,10 @@ def test_rotating_dedup_batch_and_stream(spark, tmp_path):
     q = state.rotating_dedup_stream(stream, 1800).writeStream.format("memory").queryName("deduped").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.infohash, r.event_id) for r in spark.table("deduped").collect()} == expect
+
+
+def test_lookups_run_to_their_end(spark):
+    from heronlake.plans import queries
+
+    got = queries.QUERIES["iterative_lookup"](spark, "/root/testdata/sf0.001").groupBy("target").agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).collect()
+    assert got and all(r.n == r.asked for r in got)
