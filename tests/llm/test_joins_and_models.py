@@ -116,7 +116,8 @@ def test_leaks(spark, odd):
     got = {(r.doc_id, r.item_id): r for r in decontamination.pairs(df, bench).collect()}
     assert {k for k in got if k[1] == 1} >= {(1, 1), (2, 1), (10, 1), (11, 1)}
     assert (8, 2) in got and not any(d in (5, 6, 7, 9) for d, _ in got)
-    assert got[1, 1].n_changed == 0 and got[2, 1].n_changed > 0
+    assert got[1, 1].n_verbatim == got[1, 1].n_windows == got[1, 1].item_windows and got[2, 1].n_verbatim < got[2, 1].n_windows
+    assert (3, 1) not in got and (4, 1) in got  # another name in capitals throughout leaves no template; a copy in lower case does
     left = decontamination.clean(df, bench)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} >= {5, 6, 7, 9, None}
     assert decontamination.pairs(df.limit(0), bench).count() == 0 and decontamination.pairs(df, bench.limit(0)).count() == 0
@@ -135,21 +136,53 @@ def test_clean_in_any_case(spark):
 
 
 def test_slots_must_agree(spark):
-    """The same template with one slot meaning two things is another text."""
+    """The same template with one slot meaning two things is another text, unless enough of it is the item word for word."""
     item = "Take 5 coins and add 5 coins to the large red box before you count all 5 coins again with care"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, item.replace("5", "9")), (2, item.replace("5", "9", 1))], "doc_id long, text string")
-    assert {r.doc_id for r in decontamination.pairs(docs, bench).collect()} == {1}
+    mixed = item.replace("5", "9", 1).replace("5", "8", 1).replace("5", "7", 1)
+    docs = spark.createDataFrame([(1, item.replace("5", "9")), (2, item.replace("5", "9", 1)), (3, mixed)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.n_verbatim) for r in decontamination.pairs(docs, bench).collect()}
+    assert set(got) == {1, 2} and got[1][1] < got[1][0] and got[2][0] == got[2][1]
+
+
+def test_recall_by_kind_of_copy(spark):
+    """Copies in other case, with other parameters, and of short items; texts under one id; short items in part."""
+    from tests.llm.conftest import prose
+
+    r = random.Random(21)
+    names, filler = "Alice Smith,Bob Jones,Carol King,Dan Moore,Eve Stone,Frank Hill".split(","), prose(r, 60)
+    ask = lambda i, name, n, m, w: f"When {name} brings {n} {w[0]} and {m} {w[1]} to the {w[2]} near the {w[3]} how many {w[4]} does {name} still {w[5]} after the {w[6]} {w[7]}"
+    bench, docs = [], []
+    for i in range(20):
+        w = [prose(r, 1) + f"{chr(97 + i)}x" for _ in range(8)]
+        name, other = names[i % 6], names[(i + 1) % 6]
+        item = ask(i, name, i + 3, i + 30, w)
+        bench.append((i, item))
+        for kind, t in enumerate((item, item.upper(), item.title(), item.lower(), ask(i, other, i + 50, 2 * i + 7, w), ask(i, name, i + 50, 2 * i + 7, w).upper())):
+            docs.append((1000 * kind + i, f"{filler} {t} {filler}"))
+        short = f"Which {w[0]} is {i + 12}?" if i % 2 else f"{w[0]} {i + 12} + {i + 7}"
+        bench += [(100 + i, short), (200, item + " or another " + w[3] + " under one id")]
+        docs += [(7000 + i, f"{filler} {short.upper()} {filler}"), (8000 + i, f"{filler} {short.split()[0]} {filler}"), (9000 + i, f"{filler} {w[0]} {w[1]} 12 34 {filler}")]
+    bench += [(300, "two words"), (301, "alone")]
+    docs += [(20_000, "Two words"), (20_001, "two words more"), (20_002, "ALONE"), (20_003, "not alone"), (20_004, None), (20_005, "12 34 12 34")]
+    found = {(x.doc_id, x.item_id) for x in decontamination.pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for kind in range(6):
+        assert sum((1000 * kind + i, i) in found for i in range(20)) >= 18, kind
+    assert sum((7000 + i, 100 + i) in found for i in range(20)) >= 18
+    assert all((i, 200) in found for i in range(20))
+    assert not any(d >= 8000 and d < 20_000 for d, _ in found)
+    assert {x for x in found if x[0] >= 20_000} == {(20_000, 300), (20_002, 301)}
 
 
 def test_window_hashes(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([(list(range(11)),), ([1, 2],), ([],)], "h array<long>")
-    for size in (1, 3, 5, 8):
-        got = rows.select(decontamination.window_hashes(F.col("h"), F.size("h"), size)).collect()
-        assert [len(r[0]) for r in got] == [max(0, n - size + 1) for n in (11, 2, 0)]
-        assert len(set(got[0][0])) == len(got[0][0])
+    sizes = [1, 3, 5, 8]
+    got = decontamination.with_window_hashes(rows, F.transform("h", lambda t: F.xxhash64(t)), "w", sizes).collect()
+    for size in sizes:
+        assert [len(r[f"w_{size}"]) for r in got] == [max(0, n - size + 1) for n in (11, 2, 0)]
+        assert len(set(got[0][f"w_{size}"])) == 11 - size + 1
 
 
 def test_base_scores(odd, plain):
