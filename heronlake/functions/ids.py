@@ -53,19 +53,24 @@ def _crc_table() -> list[int]:
 CRC_TABLE = _crc_table()
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ip_number(ip: Column) -> Column:
     """A dotted IPv4 address as a number; null for anything else."""
-    parts = [F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z", g).try_cast("long") for g in (1, 2, 3, 4)]
-    n = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    return F.when((parts[0] < 256) & (parts[1] < 256) & (parts[2] < 256) & (parts[3] < 256), n)
+    parts = F.transform(F.split(ip, r"\."), lambda p: p.try_cast("long"))
+    number = lambda x: F.when(F.forall(x, lambda p: p < 256), F.aggregate(x, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
+    return F.when(ip.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}\z"), let(parts, number))
 
 
 def crc32c(number: Column) -> Column:
     """Of a 32-bit number's four big-endian bytes."""
     table = F.array(*map(F.lit, CRC_TABLE)).cast("array<bigint>")
-    data = F.array(*(F.shiftrightunsigned(number, shift).bitwiseAND(255) for shift in (24, 16, 8, 0)))
     step = lambda crc, byte: F.shiftrightunsigned(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(byte).bitwiseAND(255).cast("int")))
-    return F.aggregate(data, F.lit(0xFFFFFFFF).cast("long"), step).bitwiseXOR(0xFFFFFFFF)
+    data = lambda n: F.array(*(F.shiftrightunsigned(n, shift).bitwiseAND(255) for shift in (24, 16, 8, 0)))
+    return F.aggregate(let(number, data), F.lit(0xFFFFFFFF).cast("long"), step).bitwiseXOR(0xFFFFFFFF)
 
 
 def _seed_crc(ip: Column, r: Column) -> Column:
@@ -74,18 +79,21 @@ def _seed_crc(ip: Column, r: Column) -> Column:
 
 def derive(ip: Column, r: Column, rest: Column) -> Column:
     """The id that the address and a three-bit number give; other bits are those of ``rest``."""
-    crc = _seed_crc(ip, r.bitwiseAND(7))
-    third = F.shiftrightunsigned(crc, 8).bitwiseAND(0xF8).bitwiseOR(F.conv(F.substring(rest, 5, 2), 16, 10).cast("long").bitwiseAND(7))
+    third = lambda crc: F.shiftrightunsigned(crc, 8).bitwiseAND(0xF8).bitwiseOR(F.conv(F.substring(rest, 5, 2), 16, 10).cast("long").bitwiseAND(7))
     last = F.conv(F.substring(rest, 39, 2), 16, 10).cast("long").bitwiseAND(0xF8).bitwiseOR(r.cast("long").bitwiseAND(7))
     two = lambda c: F.lpad(F.hex(c), 2, "0")
-    return F.lower(F.concat(F.lpad(F.hex(F.shiftrightunsigned(crc, 16)), 4, "0"), two(third), F.substring(rest, 7, 32), two(last)))
+    head = let(_seed_crc(ip, r.bitwiseAND(7)), lambda crc: F.concat(F.lpad(F.hex(F.shiftrightunsigned(crc, 16)), 4, "0"), two(third(crc))))
+    return F.lower(F.concat(head, F.substring(rest, 7, 32), two(last)))
 
 
 def valid_for_ip(node_id: Column, ip: Column) -> Column:
     """Whether the id's first 21 bits and last three fit the address; false if it is no IPv4 address."""
-    r = F.conv(F.substring(node_id, 39, 2), 16, 10).cast("long").bitwiseAND(7)
-    head = F.conv(F.substring(node_id, 1, 6), 16, 10).cast("long")
-    return F.coalesce(F.shiftrightunsigned(head, 3) == F.shiftrightunsigned(_seed_crc(ip, r), 11), F.lit(False))
+    def fits(node: Column) -> Column:
+        r = F.conv(F.substring(node, 39, 2), 16, 10).cast("long").bitwiseAND(7)
+        head = F.conv(F.substring(node, 1, 6), 16, 10).cast("long")
+        return F.shiftrightunsigned(head, 3) == F.shiftrightunsigned(_seed_crc(ip, r), 11)
+
+    return F.coalesce(let(node_id, fits), F.lit(False))
 
 
 def _uint(b: Column, at, n: int) -> Column:

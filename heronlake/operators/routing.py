@@ -13,20 +13,36 @@ from pyspark.sql import types as T
 
 from heronlake.functions import ids
 
-BROADCAST_NODES = 500_000  # nodes (some 100 bytes each) that may be sent to all executors
+PREFIX_BITS = 60  # the deepest prefix that nodes are counted by
+SPARE_BITS = 8  # counted beyond the depth at which evenly spread ids would do
+
+
+def _prefix(node: Column, depth: Column) -> Column:
+    """The first ``depth`` bits of an id as a number."""
+    return F.call_function("shiftrightunsigned", F.conv(F.substring(node, 1, 15), 16, 10).cast("long"), F.lit(PREFIX_BITS) - depth)
 
 
 def nearest(targets: DataFrame, nodes: DataFrame, k: int, bad: int = 3) -> DataFrame:
     """``target, node_id, rank``: the k nearest good nodes of each target.
 
-    A node's distance depends on both, so each target meets all nodes; each task keeps
-    its k best of a target before they are brought together. Targets are few, nodes many.
+    A node that shares a longer prefix with the target is nearer. So nodes are counted by
+    prefix, each target takes the longest of its own that k nodes or more share, and only
+    these are ranked: equi-joins by prefix, of some k nodes a target.
     """
-    good = nodes.where(F.col("failure_count") < bad).select("node_id", (F.xxhash64("node_id") % 64).alias("__part"))
-    small = F.broadcast(targets.select("target")) if targets.count() <= BROADCAST_NODES else targets.select("target")
-    rows = good.join(small).withColumn("dist", ids.xor(F.col("node_id"), F.col("target")))
-    part = rows.withColumn("__r", F.row_number().over(Win.partitionBy("target", "__part").orderBy("dist", "node_id"))).where(F.col("__r") <= k)
-    ranked = part.withColumn("rank", F.row_number().over(Win.partitionBy("target").orderBy("dist", "node_id")))
+    good = nodes.where(F.col("failure_count") < bad).select("node_id").distinct()
+    wanted = targets.select("target").where(F.col("target").isNotNull()).distinct()
+    total = good.count()
+    deepest = min(PREFIX_BITS, max(0, (total // max(k, 1)).bit_length()) + SPARE_BITS)
+    depths = F.explode(F.sequence(F.lit(0), F.lit(deepest)))
+    base = good.groupBy(_prefix(F.col("node_id"), F.lit(deepest)).alias("p")).agg(F.count("*").alias("n"))
+    shorter = lambda p, depth: F.call_function("shiftrightunsigned", p, F.lit(deepest) - depth)
+    counts = base.select("p", "n", depths.alias("depth")).groupBy("depth", shorter(F.col("p"), F.col("depth")).alias("prefix")).agg(F.sum("n").alias("n")).where((F.col("n") >= k) | (F.col("depth") == 0))
+    own = wanted.select("target", depths.alias("depth")).withColumn("prefix", _prefix(F.col("target"), F.col("depth")))
+    chosen = own.join(counts, ["depth", "prefix"]).groupBy("target").agg(F.max(F.struct("depth", "prefix")).alias("c")).select("target", "c.*")
+    used = [r[0] for r in chosen.select("depth").distinct().collect()]  # at most PREFIX_BITS + 1
+    held = good.select("node_id", F.explode(F.array(*map(F.lit, sorted(used))) if used else F.array().cast("array<int>")).alias("depth")).withColumn("prefix", _prefix(F.col("node_id"), F.col("depth")))
+    rows = chosen.join(held, ["depth", "prefix"]).select("target", "node_id", ids.xor(F.col("node_id"), F.col("target")).alias("dist"))
+    ranked = rows.withColumn("rank", F.row_number().over(Win.partitionBy("target").orderBy("dist", "node_id")))
     return ranked.where(F.col("rank") <= k).select("target", "node_id", "rank")
 
 
@@ -70,13 +86,15 @@ def ready_order(items: DataFrame, width: int) -> DataFrame:
     return items.withColumn("key", weighted(F.col("dist"), F.col("yield_factor"))).orderBy("key", "node_id").limit(width)
 
 
-def prune_seen(seen: DataFrame, cooling: DataFrame, width: int) -> DataFrame:
-    """Above four times the width, the oldest go, but not those that cool down."""
-    cap, total = 4 * width, seen.count()
-    if total <= cap:
-        return seen
-    gone = seen.join(cooling.select("node_id"), "node_id", "left_anti").orderBy("seen_at", "node_id").limit(total - cap)
-    return seen.join(gone.select("node_id"), "node_id", "left_anti")
+def prune_seen(seen: DataFrame, cooling: DataFrame, width: int, cutoff: Column | None = None) -> DataFrame:
+    """What cools down stays; of the others those before ``cutoff`` go, and then the oldest while more than four times the width are left."""
+    kept = cooling.select("node_id").distinct().withColumn("__cools", F.lit(True))
+    rows = seen.join(kept, "node_id", "left")
+    if cutoff is not None:
+        rows = rows.where(F.col("__cools").isNotNull() | (F.col("seen_at") >= cutoff))
+    cooled = rows.where("__cools").drop("__cools")
+    room = max(0, 4 * width - cooled.count())
+    return cooled.unionByName(rows.where("__cools IS NULL").drop("__cools").orderBy(F.col("seen_at").desc(), F.col("node_id").desc()).limit(room))
 
 
 def promote(cooling: DataFrame, now: Column) -> DataFrame:
