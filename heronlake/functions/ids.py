@@ -166,7 +166,8 @@ def shorten_interval(seconds: Column, total: Column, returned: Column, default:
 
 
 def jitter(node_id: Column, round_: Column, most: int) -> Column:
-    return F.pmod(F.xxhash64(node_id, round_), F.lit(most))
+    """A number from 0 to below ``most`` that an id gets in a round."""
+    return F.conv(F.substring(F.md5(F.concat(node_id, F.lit(":"), round_.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % most if most > 0 else F.lit(0).cast("long")
 
 
 def announce_token(ip: Column, window: Column, secret: str) -> Column:

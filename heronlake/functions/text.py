@@ -70,6 +70,11 @@ def blank(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.lit("") if kind == "text" else F.lit(0))
 
 
+def next_option(options: list[str], now: str) -> str:
+    """The option after this one, round and round; the first for an unknown one."""
+    return options[(options.index(now) + 1) % len(options)] if now in options else options[0]
+
+
 def log_level(s: str | None) -> str:
     """A known level's name, else info."""
     return s.lower() if s and s.lower() in ("debug", "info", "warn", "error") else "info"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronlake.functions import ids
+from heronlake.operators import sequential
 
 PREFIX_BITS = 60  # the deepest prefix that nodes are counted by
 SPARE_BITS = 8  # counted beyond the depth at which evenly spread ids would do
@@ -103,7 +103,7 @@ def promote(cooling: DataFrame, now: Column) -> DataFrame:
 
 def sample_keys(keys: DataFrame, n: int = 500, seed: int = 0) -> DataFrame:
     """At most n keys, the same for a seed."""
-    return keys.select("infohash").distinct().orderBy(F.xxhash64("infohash", F.lit(seed)), "infohash").limit(n)
+    return keys.select("infohash").distinct().orderBy(F.md5(F.concat("infohash", F.lit(str(seed))).cast("binary")), "infohash").limit(n)
 
 
 @dataclass
@@ -199,11 +199,21 @@ def replay(events: DataFrame, size: int = 8, bad: int = 2) -> DataFrame:
 
     A table is the state of one node and its events are sequential; tables run in parallel.
     """
-    def run(key: tuple, rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        from heronlake.operators.routing import RoutingTable
+    def step(table: RoutingTable, key: tuple, row: tuple):
+        seq, kind, node_id, addr, at = row
+        yield key[0], seq, table.apply(kind, node_id, addr, at)
 
-        table, rows = RoutingTable(int(key[0], 16), size, bad), rows.sort_values("seq")
-        out = [table.apply(*r) for r in zip(rows["kind"], rows["node_id"], rows["addr"], rows["at"], strict=True)]
-        return pd.DataFrame({"own_id": key[0], "seq": rows["seq"].to_numpy(), "outcome": out})
+    return sequential.fold(events.select("own_id", "seq", "kind", "node_id", "addr", "at"), ["own_id"], ["seq"], "own_id string, seq long, outcome string", lambda key: RoutingTable(int(key[0], 16), size, bad), step)
 
-    return events.groupBy("own_id").applyInPandas(run, "own_id string, seq long, outcome string")
+
+def table_sizes(events: DataFrame, size: int = 8, bad: int = 2) -> DataFrame:
+    """``own_id, nodes, spare, buckets`` of the tables at the end of their events: active nodes, replacements and buckets."""
+    def step(table: RoutingTable, key: tuple, row: tuple):
+        _, kind, node_id, addr, at = row
+        table.apply(kind, node_id, addr, at)
+        return ()
+
+    def end(table: RoutingTable, key: tuple):
+        yield key[0], sum(len(b.nodes) for b in table.buckets), sum(len(b.spare) for b in table.buckets), len(table.buckets)
+
+    return sequential.fold(events.select("own_id", "seq", "kind", "node_id", "addr", "at"), ["own_id"], ["seq"], "own_id string, nodes long, spare long, buckets long", lambda key: RoutingTable(int(key[0], 16), size, bad), step, end)

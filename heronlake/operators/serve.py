@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -88,10 +90,21 @@ def items(rows: DataFrame) -> DataFrame:
     return rows.select("infohash", item(rows.columns).alias("item"))
 
 
+def indented(document: str) -> str:
+    """Markup with a line an element and two spaces a level; elements with text alone stay on one line."""
+    out, depth = [], 0
+    for part in re.finditer(r"<\?[^>]*\?>|<([\w:-]+)[^>]*>[^<]*</\1>|<[^>]*>", document):
+        tag = part[0]
+        depth -= tag.startswith("</")
+        out.append("  " * depth + tag)
+        depth += not (tag.startswith(("</", "<?")) or part[1])
+    return "\n".join(out)
+
+
 def feed(rows: DataFrame, title: str = "catalogue", description: str = "Release catalogue") -> str:
     """The RSS document of a page, whose length the request bounds."""
-    body = "".join(r["item"] for r in rows.select(item(rows.columns).alias("item")).collect())
-    return f'{HEADER}<rss version="2.0" xmlns:torznab="{NAMESPACE}"><channel><title>{title}</title><description>{description}</description>{body}</channel></rss>'
+    body = "".join(r["item"] for r in rows.select(item(rows.columns).alias("item")).toLocalIterator())
+    return indented(f'{HEADER}<rss version="2.0" xmlns:torznab="{NAMESPACE}"><channel><title>{title}</title><description>{description}</description>{body}</channel></rss>')
 
 
 def caps(title: str = "catalogue") -> str:
@@ -125,10 +138,32 @@ def to_json(rows: DataFrame) -> DataFrame:
 
 
 class Api:
-    """List, get, patch and delete over a dictionary of tables; answers are (status, body)."""
-
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = tables
+    """List, get, patch and delete over tables; answers are (status, body).
+
+    With a ``store`` (:class:`heronlake.sources.tables.TableStore`) changes are new versions there, and later reads see them.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], store=None):
+        self.tables, self.store = tables, store
+
+    def _keep(self, changed: dict[str, DataFrame]) -> None:
+        if self.store:
+            self.store.commit(changed)
+            changed = {t: self.store.read(t) for t in changed}
+        self.tables |= changed
+
+    def pages(self, limit: int = 50, **filters) -> Iterator[list[str]]:
+        """Page after page of :meth:`list`; the last is short."""
+        offset = 0
+        while True:
+            status, rows = self.list(limit=limit, offset=offset, **filters)
+            if status != 200:
+                raise ValueError(rows)
+            if rows:
+                yield rows
+            if len(rows) < limit:
+                return
+            offset += limit
 
     def list(self, state: str | None = None, content_type: str | None = None, limit: int = 50, offset: int = 0) -> tuple[int, list[str] | str]:
         if limit < 1 or offset < 0:
@@ -146,14 +181,19 @@ class Api:
             return 400, "no such state"
         if catalog.get(self.tables["torrents"], infohash).isEmpty():
             return 404, "not found"
-        self.tables["torrents"] = dml.set_state(self.tables["torrents"], infohash, state)
+        self._keep({"torrents": dml.set_state(self.tables["torrents"], infohash, state)})
         return 204, ""
 
     def delete(self, infohash: str) -> tuple[int, str]:
         if catalog.get(self.tables["torrents"], infohash).isEmpty():
             return 404, "not found"
-        self.tables |= dml.delete_cascade(self.tables, catalog.get(self.tables["torrents"], infohash))
+        self._keep(dml.delete_cascade(self.tables, catalog.get(self.tables["torrents"], infohash)))
         return 204, ""
 
     def health(self) -> tuple[int, str]:
+        """Whether the catalogue can be read."""
+        try:
+            self.tables["torrents"].limit(1).count()
+        except Exception as e:
+            return 503, str(e).splitlines()[0]
         return 200, "ok"

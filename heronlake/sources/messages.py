@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,21 +56,47 @@ def find_node_replies(queries: DataFrame, nodes: DataFrame, k: int = 8, most: in
 
 
 def get_peers_replies(queries: DataFrame, live: DataFrame, nodes: DataFrame, window: Column, secret: str, most: int = 50, k: int = 8) -> DataFrame:
-    """Live peers with a token, or, where there are none, the nearest nodes with a token; never both."""
+    """``target, ip, token`` with ``values`` (live peers, compact) or, where there are none, the nearest ``nodes`` (compact); never both."""
     from pyspark.sql import Window as Win
 
     asked = queries.select(F.col("a.info_hash").alias("target"), "ip").withColumn("token", ids.announce_token(F.col("ip"), window, secret))
     ranked = live.withColumn("i", F.row_number().over(Win.partitionBy("infohash").orderBy(F.col("seen_at").desc(), "ip", "port"))).where(F.col("i") <= most)
     values = ranked.groupBy("infohash").agg(F.sort_array(F.collect_list(F.hex(ids.encode_peer(F.col("peer_ip") if "peer_ip" in live.columns else F.col("ip"), F.col("port"))))).alias("values")).withColumnRenamed("infohash", "target")
     rows = asked.join(values, "target", "left")
-    near = routing.nearest(rows.where("values IS NULL").select("target").distinct(), nodes, k).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("rank", "node_id"))).alias("near"))
-    return rows.join(near, "target", "left").select("target", "ip", "token", "values", F.when(F.col("values").isNull(), F.transform("near", lambda x: x["node_id"])).alias("nodes"))
+    lonely = rows.where("values IS NULL").select(F.struct(F.col("target"), F.lit(None).cast("string").alias("info_hash")).alias("a")).distinct()
+    near = find_node_replies(lonely, nodes, k, k).select("target", "nodes")
+    return rows.join(near, "target", "left").select("target", "ip", "token", "values", "nodes")
 
 
 def sample_reply(keys: DataFrame, interval: int = 300, seed: int = 0, most: int = 500) -> DataFrame:
-    """``samples`` (binary), ``num`` of all keys and the interval."""
+    """``samples`` (binary), ``num`` of all keys and the interval (300 seconds if it is none)."""
     picked = routing.sample_keys(keys, most, seed).agg(F.unhex(F.array_join(F.sort_array(F.collect_list("infohash")), "")).alias("samples"))
-    return picked.crossJoin(keys.agg(F.countDistinct("infohash").alias("num"))).withColumn("interval", F.lit(interval))  # one row each
+    return picked.crossJoin(keys.agg(F.countDistinct("infohash").alias("num"))).withColumn("interval", F.lit(interval if interval > 0 else 300))  # one row each
+
+
+def sample_replies(queries: DataFrame, keys: DataFrame, nodes: DataFrame, k: int = 8, **options) -> DataFrame:
+    """``target, nodes, samples, num, interval`` for each query: the nearest nodes to its target and one sample for all; without a target, error 203."""
+    asked = queries.select("a").withColumn("a", F.col("a").withField("info_hash", F.lit(None).cast("string")))
+    return find_node_replies(asked, nodes, k, k).crossJoin(F.broadcast(sample_reply(keys, **options)))  # one row
+
+
+def ping_replies(queries: DataFrame, own: str) -> DataFrame:
+    """``t, id``: one's own id to every ping."""
+    return queries.where((F.col("y") == "q") & (F.col("q") == "ping")).select("t", F.lit(own).alias("id"))
+
+
+#: Queries that have a handler.
+HANDLERS = ("ping", "find_node", "get_peers", "announce_peer", "sample_infohashes")
+
+
+def dispatch(messages: DataFrame, rate: float, burst: int, **limits) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Of queries (``y``, ``q``, ``ip``, ``at``, ``seq``): how many came of each type (``q, n``), those that their address's limit lets through by handler, and the senders to note."""
+    from heronlake.streaming import state
+
+    queries = messages.where(F.col("y") == "q")
+    allowed = state.rate_limited(queries, rate, burst, **limits).where("allowed").select(F.col("seq").alias("__seq"))
+    through = queries.join(allowed, F.col("seq") == F.col("__seq"), "left_semi")
+    return queries.groupBy("q").agg(F.count("*").alias("n")), {q: through.where(F.col("q") == q) for q in HANDLERS}, through
 
 
 def node_json(nodes: DataFrame) -> DataFrame:
@@ -83,34 +110,52 @@ def parse_node_json(rows: DataFrame) -> DataFrame:
 
 
 def bdecode(data: bytes, at: int = 0):
-    """A bencoded value and where it ends."""
-    kind = data[at : at + 1]
-    if kind == b"i":
-        end = data.index(b"e", at)
-        return int(data[at + 1 : end]), end + 1
-    if kind in (b"l", b"d"):
-        out, at = [], at + 1
-        while data[at : at + 1] != b"e":
-            value, at = bdecode(data, at)
-            out.append(value)
-        return (out if kind == b"l" else dict(zip(out[::2], out[1::2], strict=True))), at + 1
-    colon = data.index(b":", at)
-    end = colon + 1 + int(data[at:colon])
-    if end > len(data):
-        raise ValueError("string beyond the end")
-    return data[colon + 1 : end], end
+    """A bencoded value and where it ends; ``ValueError`` or ``TypeError`` if it is none. Nesting costs no stack."""
+    opened: list[tuple[list, bool]] = []
+    while True:
+        kind = data[at : at + 1]
+        if kind in (b"l", b"d"):
+            opened.append(([], kind == b"d"))
+            at += 1
+            continue
+        if kind == b"e" and opened:
+            items, named = opened.pop()
+            if named and not all(isinstance(k, bytes) for k in items[::2]):
+                raise ValueError("a name that is no string")
+            value, at = dict(zip(items[::2], items[1::2], strict=True)) if named else items, at + 1
+        elif kind == b"i":
+            end = data.index(b"e", at)
+            digits = data[at + 1 : end]
+            if not re.fullmatch(rb"-?\d{1,19}", digits):
+                raise ValueError("no number")
+            value, at = int(digits), end + 1
+        else:
+            length = re.compile(rb"\d{1,10}:").match(data, at)
+            if not length or length.end() + int(length[0][:-1]) > len(data):
+                raise ValueError("no string")
+            end = length.end() + int(length[0][:-1])
+            value, at = data[length.end() : end], end
+        if not opened:
+            return value, at
+        opened[-1][0].append(value)
 
 
 def torrent_info(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
-    """Name, files (paths joined by slashes) and total size; a single file is named like the whole."""
-    info, _ = bdecode(data)
-    clean = lambda b: b.decode("utf-8", "ignore")
-    name = clean(info[b"name"])
+    """Name, files (paths joined by slashes) and total size; a single file is named like the whole. ``ValueError`` for anything else."""
+    def need(x, kind: type):
+        if not isinstance(x, kind) or (kind is int and not 0 <= x < 1 << 63):
+            raise ValueError("another type than expected")
+        return x
+
+    info = need(bdecode(data)[0], dict)
+    clean = lambda b: need(b, bytes).decode("utf-8", "ignore")
+    name = clean(info.get(b"name"))
     if b"files" in info:
-        files = [("/".join(clean(p) for p in f[b"path"]), int(f[b"length"])) for f in info[b"files"]]
+        entries = [need(f, dict) for f in need(info[b"files"], list)]
+        files = [("/".join(clean(p) for p in need(f.get(b"path"), list)), need(f.get(b"length"), int)) for f in entries]
     else:
-        files = [(name, int(info.get(b"length", 0)))]
-    return name, files, sum(n for _, n in files)
+        files = [(name, need(info.get(b"length", 0), int))]
+    return name, files, need(sum(n for _, n in files), int)
 
 
 def metadata(rows: DataFrame) -> DataFrame:
@@ -123,7 +168,7 @@ def metadata(rows: DataFrame) -> DataFrame:
             for infohash, info in zip(p["infohash"], p["info"], strict=True):
                 try:
                     name, files, total = torrent_info(bytes(info))
-                except (ValueError, KeyError, TypeError, IndexError):
+                except (ValueError, TypeError):  # not a description of files
                     continue
                 out.append((infohash, name, [{"path": a, "size": n} for a, n in files], total))
             yield pd.DataFrame(out, columns=["infohash", "name", "files", "total_size"])

@@ -44,26 +44,42 @@ class TableStore:
         v = self.version(table) if version is None else version
         if not v:
             return self.spark.createDataFrame([], self.schemas[table])
-        fs, p = self._fs(f"{self.root}/{table}/_versions/{v}")
+        return self.spark.read.schema(self.schemas[table]).parquet(self._path(table, v))
+
+    def _path(self, table: str, version: int) -> str:
+        fs, p = self._fs(f"{self.root}/{table}/_versions/{version}")
         stream = fs.open(p)
         try:
-            path = bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return self.spark.read.schema(self.schemas[table]).parquet(path)
 
     def write(self, table: str, df: DataFrame, keep: int = 2) -> int:
-        """The table's next version; the data is complete before the pointer is there. Older versions but ``keep`` go."""
-        new = self.version(table) + 1
-        path = f"{self.root}/{table}/data-{new}-{uuid.uuid4().hex[:8]}"
-        df.select(*(df[f.name].cast(f.dataType) for f in self.schemas[table].fields)).write.parquet(path)
-        fs, aside = self._fs(f"{self.root}/{table}/_versions/.{uuid.uuid4().hex}")
-        out = fs.create(aside)
-        out.write(bytearray(path.encode()))
-        out.close()
-        if not fs.rename(aside, self._fs(f"{self.root}/{table}/_versions/{new}")[1]):
-            raise RuntimeError(f"another writer made version {new} of {table}")
+        """The table's next version; the data is complete before the pointer is there. Older versions but ``keep`` go, and their data."""
+        return self.commit({table: df}, keep)[table]
+
+    def commit(self, changed: dict[str, DataFrame], keep: int = 2) -> dict[str, int]:
+        """Next versions of several tables: all data is there before the first pointer moves."""
+        placed = {}
+        for table, df in changed.items():
+            new = self.version(table) + 1
+            path = f"{self.root}/{table}/data-{new}-{uuid.uuid4().hex[:8]}"
+            df.select(*(df[f.name].cast(f.dataType) for f in self.schemas[table].fields)).write.parquet(path)
+            placed[table] = new, path
+        for table, (new, path) in placed.items():
+            fs, aside = self._fs(f"{self.root}/{table}/_versions/.{uuid.uuid4().hex}")
+            out = fs.create(aside)
+            out.write(bytearray(path.encode()))
+            out.close()
+            if not fs.rename(aside, self._fs(f"{self.root}/{table}/_versions/{new}")[1]):
+                raise RuntimeError(f"another writer made version {new} of {table}")
+            self._forget(table, keep)
+        return {table: new for table, (new, _) in placed.items()}
+
+    def _forget(self, table: str, keep: int) -> None:
+        """Removes all but the last ``keep`` versions; readers of these are safe while so many writes pass."""
         for old in self._pointers(table)[:-keep]:
-            _, p = self._fs(f"{self.root}/{table}/_versions/{old}")
-            fs.delete(p, False)
-        return new
+            fs, pointer = self._fs(f"{self.root}/{table}/_versions/{old}")
+            _, data = self._fs(self._path(table, old))
+            fs.delete(pointer, False)
+            fs.delete(data, True)

@@ -1,18 +1,22 @@
 """Keyed state: rotating dedup, peer store, rate limits. Each has a batch form over a whole log and a stream form.
 
-Times are event times in the rows; a stream's late rows behind the watermark are dropped.
+Times are event times in the rows. A stream has a watermark (``late``: how far rows may be
+behind the latest one; those that are further behind are dropped), which also ends the state
+of silent keys by timers, once it no longer matters.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from heronlake.operators import sequential
+
 
 def rotating_dedup(events: DataFrame, rotation_seconds: int, key: str = "infohash", ts: str = "seen_at", order: str = "event_id") -> DataFrame:
     """The events that two rotating sets let through: a key passes again only two rotations after it last did.
@@ -32,6 +36,7 @@ class _Rotating(StatefulProcessor):
         self.rotation = rotation
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "w long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -42,27 +47,81 @@ class _Rotating(StatefulProcessor):
             if last is None or w - last >= 2:
                 out.append((key[0], int(r.event_id)))
                 last = w
-        if last is not None:
+        if out:
             self.last.update((last,))
+            self.handle.registerTimer((last + 2) * self.rotation * 1000)
         yield pd.DataFrame(out, columns=["infohash", "event_id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists() and (self.last.get()[0] + 2) * self.rotation * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def rotating_dedup_stream(events: DataFrame, rotation_seconds: int) -> DataFrame:
+def rotating_dedup_stream(events: DataFrame, rotation_seconds: int, late: str = "1 hour") -> DataFrame:
     """``infohash, event_id`` of the events that pass, from a stream of ``infohash, event_id, seen_at`` (needs the RocksDB state store)."""
-    rows = events.select("infohash", "event_id", "seen_at").groupBy("infohash")
-    return rows.transformWithStateInPandas(_Rotating(rotation_seconds), "infohash string, event_id long", "Append", "None")
+    rows = events.select("infohash", "event_id", "seen_at").withWatermark("seen_at", late).groupBy("infohash")
+    return rows.transformWithStateInPandas(_Rotating(rotation_seconds), "infohash string, event_id long", "Append", "EventTime")
+
+
+class PeerStore:
+    """Peers by hash, with caps on both and a time to live; events come in order of time.
+
+    A peer that comes again is refreshed. A hash that is full takes no new peer; a store
+    that is full lets go of the hash that came first, which when it comes again is new.
+    What expires makes room.
+    """
 
+    def __init__(self, ttl: int, most_peers: int, most_hashes: int):
+        self.ttl, self.most_peers, self.most_hashes = ttl, most_peers, most_hashes
+        self.held: dict[str, dict[tuple, int]] = {}
+        self.queue: deque[tuple[int, str, tuple]] = deque()
+
+    def expire(self, now: int) -> None:
+        while self.queue and self.queue[0][0] <= now - self.ttl:
+            at, infohash, peer = self.queue.popleft()
+            peers = self.held.get(infohash)
+            if peers and peers.get(peer) == at:
+                del peers[peer]
+                if not peers:
+                    del self.held[infohash]
+
+    def add(self, infohash: str, peer: tuple, at: int) -> None:
+        self.expire(at)
+        peers = self.held.get(infohash)
+        if peers is None:
+            if len(self.held) >= self.most_hashes:
+                del self.held[next(iter(self.held))]
+            peers = self.held[infohash] = {}
+        if peer in peers or len(peers) < self.most_peers:
+            peers[peer] = at
+            self.queue.append((at, infohash, peer))
+
+
+def live_peers(events: DataFrame, now, ttl_seconds: int, most_peers: int, most_hashes: int, store: str | None = None) -> DataFrame:
+    """``infohash, ip, port, seen_at`` (and the column ``store``, if stores are told apart by one): what a store holds at ``now`` after its announcements up to then.
+
+    A store's evictions depend on all that came before, so one store is one sequence; it holds no more than its caps allow.
+    """
+    keys = [store] if store else []
+    rows = events.where(F.col("seen_at") <= now).select(*keys, F.unix_micros("seen_at").alias("at"), "event_id", "infohash", "ip", F.col("port").cast("long").alias("port"))
+
+    def step(held: PeerStore, key: tuple, row: tuple):
+        at, _, infohash, ip, port = row
+        held.add(infohash, (ip, port), at)
+        return ()
+
+    def end(held: PeerStore, key: tuple):
+        for infohash, peers in held.held.items():
+            for (ip, port), at in peers.items():
+                yield *key, infohash, ip, port, at
 
-def live_peers(events: DataFrame, now, ttl_seconds: int, most_peers: int, most_hashes: int) -> DataFrame:
-    """``infohash, ip, port, seen_at``: the first peers of each of the last hashes to come, if seen since the time to live."""
-    peers = events.groupBy("infohash", "ip", "port").agg(F.min(F.struct("seen_at", "event_id")).alias("first"), F.max("seen_at").alias("seen_at"))
-    hashes = peers.groupBy("infohash").agg(F.min("first").alias("born"))
-    held = hashes.orderBy(F.col("born").desc(), "infohash").limit(most_hashes).select("infohash")  # a bounded store
-    ranked = peers.withColumn("__r", F.row_number().over(Win.partitionBy("infohash").orderBy("first")))
-    return ranked.where((F.col("__r") <= most_peers) & (F.col("seen_at") > now - F.make_dt_interval(secs=F.lit(float(ttl_seconds))))).join(held, "infohash", "left_semi").select("infohash", "ip", "port", "seen_at")
+    kind = f"{store} {events.schema[store].dataType.simpleString()}, " if store else ""
+    got = sequential.fold(rows, keys, ["at", "event_id"], f"{kind}infohash string, ip string, port long, at long", lambda _: PeerStore(ttl_seconds * 1_000_000, most_peers, most_hashes), step, end)
+    return got.where(F.col("at") > F.unix_micros(now) - ttl_seconds * 1_000_000).select(*keys, "infohash", "ip", "port", F.timestamp_micros("at").alias("seen_at"))
 
 
 class _Peers(StatefulProcessor):
@@ -70,60 +129,96 @@ class _Peers(StatefulProcessor):
         self.most, self.ttl = most, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.peers = handle.getMapState("peers", "ip string, port int", "seen_at double")
 
+    def _expire(self, now: float) -> dict[tuple, float]:
+        held = {(k[0], int(k[1])): float(v[0]) for k, v in self.peers.iterator()} if self.peers.exists() else {}
+        for peer in [p for p, t in held.items() if t <= now - self.ttl]:
+            self.peers.removeKey(peer)
+            del held[peer]
+        return held
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {(k[0], int(k[1])): float(v[0]) for k, v in self.peers.iterator()}
         got = pd.concat(list(rows)).sort_values(["seen_at", "event_id"])
+        held = self._expire(got["seen_at"].iloc[0].timestamp())
         for r in got.itertuples(index=False):
-            peer = (r.ip, int(r.port))
+            peer, now = (r.ip, int(r.port)), r.seen_at.timestamp()
+            for gone in [p for p, t in held.items() if t <= now - self.ttl]:
+                self.peers.removeKey(gone)
+                del held[gone]
             if peer in held or len(held) < self.most:
-                held[peer] = r.seen_at.timestamp()
-                self.peers.updateValue(peer, (held[peer],))
-        newest = max(held.values(), default=0.0)
-        for peer in [p for p, t in held.items() if t <= newest - self.ttl]:
-            self.peers.removeKey(peer)
-            del held[peer]
+                held[peer] = now
+                self.peers.updateValue(peer, (now,))
+        if held:
+            self.handle.registerTimer(int((max(held.values()) + self.ttl) * 1000) + 1)
+        yield pd.DataFrame({"infohash": [key[0]], "n_live": [len(held)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._expire(expiredTimerInfo.getExpiryTimeInMs() / 1000)
         yield pd.DataFrame({"infohash": [key[0]], "n_live": [len(held)]})
 
     def close(self) -> None:
         pass
 
 
-def peer_store_stream(events: DataFrame, most_peers: int, ttl_seconds: int) -> DataFrame:
-    """``infohash, n_live`` after each batch of a stream of ``infohash, ip, port, event_id, seen_at``; the bound on hashes is a periodic job (:func:`live_peers`)."""
-    return events.groupBy("infohash").transformWithStateInPandas(_Peers(most_peers, ttl_seconds), "infohash string, n_live long", "Update", "None")
+def peer_store_stream(events: DataFrame, most_peers: int, ttl_seconds: int, late: str = "1 hour") -> DataFrame:
+    """``infohash, n_live`` after each batch and each expiry, of a stream of ``infohash, ip, port, event_id, seen_at``; the bound on hashes, which all share, is :func:`live_peers`'s."""
+    rows = events.select("infohash", "ip", "port", "event_id", "seen_at").withWatermark("seen_at", late)
+    return rows.groupBy("infohash").transformWithStateInPandas(_Peers(most_peers, ttl_seconds), "infohash string, n_live long", "Update", "EventTime")
 
 
-def bucket_decisions(times: list[float], rate: float, burst: int, start: tuple[float, float] | None = None) -> tuple[list[bool], tuple[float, float]]:
-    """Of a token bucket that starts full, for events in order; its tokens and time at the end."""
+def bucket_decisions(times: list[float], rate: float, burst: int, start: tuple[float, float] | None = None, idle: float | None = None) -> tuple[list[bool], tuple[float, float]]:
+    """Of a token bucket that starts full, and anew after ``idle`` seconds without an event, for events in order; its tokens and time at the end."""
     tokens, last = start or (float(burst), times[0] if times else 0.0)
     out = []
     for t in times:
-        tokens = min(float(burst), tokens + max(0.0, t - last) * rate)
+        tokens = float(burst) if idle is not None and t - last > idle else min(float(burst), tokens + max(0.0, t - last) * rate)
         last = t
         out.append(tokens >= 1)
         tokens -= tokens >= 1
     return out, (tokens, last)
 
 
-def rate_limited(events: DataFrame, rate: float, burst: int, key: str = "ip", ts: str = "at", order: str = "seq") -> DataFrame:
-    """``key, order, allowed``: a token bucket for each key; an empty key is never allowed. One key's events are sequential."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from heronlake.streaming.state import bucket_decisions
+class Limiter:
+    """Token buckets by key, of which so many fit; idle ones go, and a new key that finds no room is denied."""
+
+    def __init__(self, rate: float, burst: int, idle: float | None = None, most: int | None = None):
+        self.rate, self.burst, self.idle, self.most = rate, burst, idle, most
+        self.buckets: dict[str, tuple[float, float]] = {}  # least recently seen first
 
-        pdf = pdf.sort_values([ts, order])
-        ok, _ = bucket_decisions([t.timestamp() for t in pdf[ts]], rate, burst)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": [a and bool(k) for a, k in zip(ok, pdf[key], strict=True)]})
+    def allow(self, key: str | None, at: float) -> bool:
+        if not key:
+            return False
+        if self.idle is not None:
+            while self.buckets and at - next(iter(self.buckets.values()))[1] > self.idle:
+                del self.buckets[next(iter(self.buckets))]
+        if key not in self.buckets and self.most is not None and len(self.buckets) >= self.most:
+            return False
+        (ok,), self.buckets[key] = bucket_decisions([at], self.rate, self.burst, self.buckets.pop(key, None))
+        return ok
 
-    return events.select(key, ts, order).groupBy(key).applyInPandas(run, f"{key} string, {order} long, allowed boolean")
+
+def rate_limited(events: DataFrame, rate: float, burst: int, key: str = "ip", ts: str = "at", order: str = "seq", idle_seconds: float | None = None, most_keys: int | None = None) -> DataFrame:
+    """``key, order, allowed``: a token bucket for each key; an empty key is never allowed. One key's events are sequential.
+
+    With ``most_keys`` the table of keys is shared, and all events are one sequence; without, keys run in parallel.
+    """
+    rows = events.select(key, (F.unix_micros(ts) / 1e6).alias("__at"), F.col(order).cast("long").alias("__order"))
+
+    def step(limiter: Limiter, k: tuple, row: tuple):
+        name, at, n = (*k, *row) if most_keys is None else (row[0], row[1], row[2])
+        yield name, n, limiter.allow(name, at)
+
+    return sequential.fold(rows, [key] if most_keys is None else [], ["__at", "__order"], f"{key} string, {order} long, allowed boolean", lambda _: Limiter(rate, burst, idle_seconds, most_keys), step)
 
 
 class _Limiter(StatefulProcessor):
-    def __init__(self, rate: float, burst: int):
-        self.rate, self.burst = rate, burst
+    def __init__(self, rate: float, burst: int, idle: float):
+        self.rate, self.burst, self.idle = rate, burst, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.bucket = handle.getValueState("bucket", "tokens double, last double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -131,17 +226,23 @@ class _Limiter(StatefulProcessor):
 
         got = pd.concat(list(rows)).sort_values(["at", "seq"])
         start = tuple(map(float, self.bucket.get())) if self.bucket.exists() else None
-        ok, end = bucket_decisions([t.timestamp() for t in got["at"]], self.rate, self.burst, start)
+        ok, end = bucket_decisions([t.timestamp() for t in got["at"]], self.rate, self.burst, start, self.idle)
         self.bucket.update(end)
+        self.handle.registerTimer(int((end[1] + self.idle) * 1000) + 1)
         yield pd.DataFrame({"ip": key[0], "seq": got["seq"].to_numpy(), "allowed": [a and bool(key[0]) for a in ok]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.bucket.exists() and (float(self.bucket.get()[1]) + self.idle) * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.bucket.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def rate_limited_stream(events: DataFrame, rate: float, burst: int) -> DataFrame:
-    """As :func:`rate_limited`, for a stream of ``ip, seq, at``."""
-    return events.select("ip", "seq", "at").groupBy("ip").transformWithStateInPandas(_Limiter(rate, burst), "ip string, seq long, allowed boolean", "Append", "None")
+def rate_limited_stream(events: DataFrame, rate: float, burst: int, idle_seconds: float = 3600.0, late: str = "1 hour") -> DataFrame:
+    """As :func:`rate_limited` with idle buckets, for a stream of ``ip, seq, at``; without a cap on keys, which all share."""
+    return events.select("ip", "seq", "at").withWatermark("at", late).groupBy("ip").transformWithStateInPandas(_Limiter(rate, burst, idle_seconds), "ip string, seq long, allowed boolean", "Append", "EventTime")
 
 
 def ttl_latest(events: DataFrame, now, ttl_seconds: int, key: str, value: str, ts: str) -> DataFrame:
