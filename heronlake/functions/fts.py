@@ -8,6 +8,7 @@ are worked out once for each distinct word and joined back.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,10 +151,36 @@ def stems(df: DataFrame, key: str, name: str = "name") -> DataFrame:
     return rows.join(known, "word").select(key, "stem").distinct()
 
 
-def search_stemmed(df: DataFrame, q: str, key: str = "infohash", name: str = "name") -> DataFrame:
-    """The rows of ``df`` whose names have all stems of the query."""
+def _stems_of(names: DataFrame, wanted: list[str]) -> DataFrame:
+    """``word, stem`` of the distinct words in ``names`` that have a wanted stem; a stem shares its word's first letter, so others are not looked at."""
+    @F.pandas_udf("string")
+    def stemmed(w: pd.Series) -> pd.Series:
+        return w.map(stem)
+
+    first = F.substring("word", 1, 1).isin(sorted({w[:1] for w in wanted}))
+    return names.select(F.explode(words(F.col("name"))).alias("word")).where(first).distinct().withColumn("stem", stemmed("word")).where(F.col("stem").isin(wanted))
+
+
+def search_stemmed(df: DataFrame, q: str, key: str = "infohash", name: str = "name", words: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` whose names have all stems of the query.
+
+    With ``words`` (a kept table of :func:`stems`) only the query's entries are read.
+    Without, the words that have the query's stems are found among the distinct ones of
+    all names, and names are filtered by them, without a shuffle of names.
+    """
     asked = list(dict.fromkeys(map(stem, query_words(q))))
     if not asked:
-        return df.limit(0)
-    hits = stems(df, key, name).where(F.col("stem").isin(asked)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(asked)).select(key)
-    return df.join(hits, key, "left_semi")
+        return df.where(F.lit(False))
+    if words is not None:
+        hits = words.where(F.col("stem").isin(asked)).groupBy(key).agg(F.count_distinct("stem").alias("n")).where(F.col("n") == len(asked)).select(key)
+        return df.join(hits, key, "left_semi")
+    forms: dict[str, list[str]] = {}
+    for r in _stems_of(df.select(F.col(name).alias("name")), asked).collect():  # the spellings of the query's few stems
+        forms.setdefault(r["stem"], []).append(r["word"])
+    if len(forms) < len(asked):
+        return df.where(F.lit(False))
+    held = _words(F.col(name))
+    return df.where(reduce(lambda a, b: a & b, (F.arrays_overlap(held, F.array(*map(F.lit, sorted(forms[w])))) for w in asked)))
+
+
+_words = words

@@ -15,8 +15,7 @@ JOBS = {"scrape": 30, "dead": 3600, "prune": 86_400, "stats": 60}
 
 def host_list(rows: DataFrame, column: str = "hosts") -> DataFrame:
     """``host, port`` of comma-separated ``host:port`` entries; entries that are none are skipped."""
-    entry = F.trim(F.explode(F.split(F.coalesce(F.col(column), F.lit("")), ",")))
-    got = rows.select(entry.alias("e"))
+    got = rows.select(F.explode(F.split(F.coalesce(F.col(column), F.lit("")), r"\s*,\s*")).alias("e")).select(F.trim("e").alias("e"))
     port = F.regexp_extract("e", r"^[^:\s]+:(\d{1,5})\z", 1).try_cast("int")
     return got.select(F.regexp_extract("e", r"^([^:\s]+):\d{1,5}\z", 1).alias("host"), port.alias("port")).where((F.col("host") != "") & F.col("port").between(0, 65535))
 

@@ -24,25 +24,27 @@ def by_seeders(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("seeders").desc(), "infohash")
 
 
-def _active(torrents: DataFrame, q: str | None) -> DataFrame:
-    return torrents.where(F.col("state") == "active").where(fts.matches(F.col("name"), q))
+def _active(torrents: DataFrame, q: str | None, words: DataFrame | None = None) -> DataFrame:
+    """Active rows with all words of the query by their English stems; ``words`` (:func:`heronlake.functions.fts.stems`) is a kept inverted table."""
+    rows = torrents.where(F.col("state") == "active")
+    return rows if q is None else fts.search_stemmed(rows, q, words=words)
 
 
-def search_all(torrents: DataFrame, q: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    return page(by_seeders(_active(torrents, q)), limit, offset)
+def search_all(torrents: DataFrame, q: str | None = None, limit: int | None = None, offset: int = 0, words: DataFrame | None = None) -> DataFrame:
+    return page(by_seeders(_active(torrents, q, words)), limit, offset)
 
 
-def search_movies(torrents: DataFrame, movies: DataFrame, q: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    return page(by_seeders(_active(torrents, q).join(movies, "infohash")), limit, offset)
+def search_movies(torrents: DataFrame, movies: DataFrame, q: str | None = None, limit: int | None = None, offset: int = 0, words: DataFrame | None = None) -> DataFrame:
+    return page(by_seeders(_active(torrents, q, words).join(movies, "infohash")), limit, offset)
 
 
 def movies_by_imdb(torrents: DataFrame, movies: DataFrame, imdb_id: str) -> DataFrame:
     return by_seeders(_active(torrents, None).join(movies.where(F.col("imdb_id") == imdb_id), "infohash"))
 
 
-def search_tv(torrents: DataFrame, tv: DataFrame, q: str | None = None, season: int | None = None, episode: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+def search_tv(torrents: DataFrame, tv: DataFrame, q: str | None = None, season: int | None = None, episode: int | None = None, limit: int | None = None, offset: int = 0, words: DataFrame | None = None) -> DataFrame:
     shows = tv.where(optional("season", season)).where(optional("episode", episode))
-    return page(by_seeders(_active(torrents, q).join(shows, "infohash")), limit, offset)
+    return page(by_seeders(_active(torrents, q, words).join(shows, "infohash")), limit, offset)
 
 
 def tv_by_imdb(torrents: DataFrame, tv: DataFrame, imdb_id: str, season: int | None = None, episode: int | None = None) -> DataFrame:

@@ -50,12 +50,12 @@ def iterate(starts: DataFrame, answers: DataFrame, k: int = 8, alpha: int = 3, r
 
 
 def peers_found(starts: DataFrame, answers: DataFrame, peers: DataFrame, k: int = 8, alpha: int = 3, rounds: int = 3) -> DataFrame:
-    """``target, node_id, ip, port``: all peers that asked nodes gave (``peers``: ``target, node_id, ip, port``), repeats kept; those of nodes that nearer ones displaced too."""
+    """``target, node_id, ip, port``: all peers that asked nodes gave (``peers``: ``node_id, ip, port``, and ``target`` if answers differ by it), repeats kept; those of nodes that nearer ones displaced too."""
     _, log = rounds_of(starts, answers, k, alpha, rounds)
     asked = starts.select("target", "node_id").limit(0)
     for ask in log:
         asked = asked.unionByName(ask)
-    return peers.join(asked.distinct(), ["target", "node_id"], "left_semi").select("target", "node_id", "ip", "port")
+    return asked.distinct().join(peers, [c for c in ("target", "node_id") if c in peers.columns]).select("target", "node_id", "ip", "port")
 
 
 def crawl_round(ready: DataFrame, seen: DataFrame, found: DataFrame, target: str, width: int) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heronlake.functions import classify as C
 from heronlake.functions import fts, ids, text
 from heronlake.functions import patterns as P
-from heronlake.operators import catalog, dml, lifecycle, lookup, metrics, routing, serve
+from heronlake.operators import catalog, dml, lifecycle, metrics, routing, serve
 from heronlake.plans.fixtures import cte, view
 from heronlake.schemas import violations
 from heronlake.session import ship
@@ -367,14 +367,6 @@ def _duck_crc(number: str) -> str:
 _SENDERS = "senders AS (SELECT event_id, ip, sha1(concat('n', CAST(event_id AS VARCHAR))) AS rest, event_id % 8 AS r, list_transform(string_split(ip, '.'), lambda x: x::BIGINT) AS p FROM discovered)"
 
 
-@query()
-def node_id_valid(spark, sf):
-    rows = view(spark, sf, "discovered").select("event_id", "ip", F.sha1(F.concat(F.lit("n"), F.col("event_id").cast("string")).cast("binary")).alias("rest"))
-    own = ids.derive(F.col("ip"), (F.col("event_id") % 8).cast("int"), F.col("rest"))
-    node = F.when(F.col("event_id") % 3 == 0, F.col("rest")).otherwise(own)
-    return rows.select("event_id", node.alias("node_id"), ids.valid_for_ip(node, F.col("ip")).alias("valid"))
-
-
 # The SQL nests the checksum, so its four steps are columns of their own.
 ORACLES["node_id_crc"] = f"""{cte('discovered')}, {_SENDERS},
 s0 AS (SELECT event_id, (((p[1] << 24) + (p[2] << 16) + (p[3] << 8) + p[4]) & 51331071) | (r << 29) AS x, {ids.CRC_TABLE}::BIGINT[] AS t, 4294967295::BIGINT AS c FROM senders),
@@ -439,24 +431,6 @@ def routing_replay(spark, sf):
     return routing.replay(rows)
 
 
-@query()
-def iterative_lookup(spark, sf):
-    nodes = view(spark, sf, "nodes")
-    n = max(nodes.count(), 1)
-    answers = nodes.select("node_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.col("c_custkey") * 31 + i * i * 17) % n + 1)).alias("k"))  # keys are 1 to n
-    answers = answers.join(nodes.select(F.col("c_custkey").alias("k"), F.col("node_id").alias("found_id")), "k").select("node_id", "found_id")
-    starts = view(spark, sf, "discovered").select(F.col("infohash").alias("target")).distinct().crossJoin(nodes.orderBy("c_custkey").limit(3).select("node_id"))  # three seeds
-    return lookup.iterate(starts, answers)
-
-
-@query()
-def get_peers_replies(spark, sf):
-    d = view(spark, sf, "discovered")
-    live = state.live_peers(d, F.lit("2100-01-01").cast("timestamp") - F.make_dt_interval(days=F.lit(36500)), 86400 * 365 * 50, 200, 10_000)
-    asked = d.where("event_id % 2 = 0").select(F.struct(F.when(F.col("event_id") % 4 == 0, F.col("infohash")).otherwise(F.sha1(F.col("ip").cast("binary"))).alias("info_hash")).alias("a"), "ip")
-    return messages.get_peers_replies(asked, live, view(spark, sf, "nodes"), F.lit(5), "secret").select("target", "ip", "token", F.size("values").alias("n_values"), F.size("nodes").alias("n_nodes"))
-
-
 _PLACED = "placed AS (SELECT node_id, failure_count, concat('10.0.', CAST(CAST(floor(c_custkey / 256) AS BIGINT) % 256 AS VARCHAR(9)), '.', CAST(c_custkey % 256 AS VARCHAR(9))) AS ip, CAST(1024 + c_custkey % 1000 AS INT) AS port FROM nodes)"
 
 
@@ -487,13 +461,6 @@ def node_json(spark, sf):
     return messages.parse_node_json(messages.node_json(rows)).select("node_id", "ip", "port", F.col("failures").cast("long").alias("failures"))
 
 
-@query(f"{cte('discovered')} SELECT DISTINCT infohash, 150 - 150 AS rest FROM discovered")
-def sample_reply(spark, sf):
-    keys = view(spark, sf, "discovered").select("infohash")
-    got = messages.sample_reply(keys)
-    return got.select(F.explode(ids.split_samples(F.col("samples"))).alias("infohash"), (F.col("num") - F.size(ids.split_samples(F.col("samples")))).cast("int").alias("rest"))
-
-
 @query("SELECT event_type AS y, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
 def route_messages(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
@@ -510,36 +477,17 @@ def dedup_discovered(spark, sf):
     return state.rotating_dedup(view(spark, sf, "discovered"), 1800).groupBy("infohash").agg(F.count("*").alias("n"))
 
 
-@query(f"""{cte('discovered')}, top AS (SELECT max(seen_at) AS t FROM discovered), p AS (SELECT infohash, ip, port, min([epoch_us(seen_at), event_id]) AS first, max(seen_at) AS seen_at FROM discovered GROUP BY 1, 2, 3),
-held AS (SELECT infohash FROM (SELECT infohash, min(first) AS born FROM p GROUP BY 1) ORDER BY born DESC, infohash LIMIT 100), r AS (SELECT *, row_number() OVER (PARTITION BY infohash ORDER BY first) AS i FROM p)
-SELECT infohash, ip, port, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS seen_at FROM r, top WHERE i <= 200 AND seen_at > t - INTERVAL 86400 SECOND AND infohash IN (SELECT infohash FROM held)""")
-def peer_store_live(spark, sf):
-    d = view(spark, sf, "discovered")
-    latest = F.lit(d.agg(F.max("seen_at").cast("string")).first()[0]).cast("timestamp")
-    return state.live_peers(d, latest, 86400, 200, 100).select("infohash", "ip", "port", when("seen_at"))
-
-
 @query(f"{cte('fetch_results')} SELECT infohash, min(seq) AS seq, arg_min(name, seq) AS name FROM fetch_results WHERE ok AND peer_rank < 20 GROUP BY infohash")
 def first_metadata_wins(spark, sf):
     return lifecycle.first_metadata(view(spark, sf, "fetch_results"), 20).select("infohash", "seq", "name")
 
 
 @query(f"""{cte('fetch_results')}, torrents AS (SELECT infohash, arg_min(name, seq) AS name, arg_min(total_size, seq) AS total_size, 'pending' AS state, 'unknown' AS content_type FROM fetch_results WHERE ok AND peer_rank < 20 GROUP BY infohash), {_CLASSIFIED}
-SELECT infohash, name, content_type, CASE WHEN total_size < 52428800 OR total_size > 161061273600 OR adult OR software OR content_type = 'unknown' THEN 'rejected' ELSE 'classified' END AS state FROM classified WHERE NOT {_m(_NORM.format('name'), P.BLOCKED)}""")
+SELECT infohash, name, content_type, CASE WHEN total_size < 52428800 OR total_size > 161061273600 OR adult OR software OR content_type = 'unknown' THEN 'rejected' ELSE 'classified' END AS state FROM classified WHERE NOT {_m(_NORM.format('name'), P.BLOCKED)} AND infohash NOT IN (SELECT infohash FROM fetch_results WHERE seq % 700 < 100)""")
 def ingest_batch(spark, sf):
-    none = view(spark, sf, "torrents").limit(0)
-    return ingest.ingest(view(spark, sf, "fetch_results"), none, now(), 20)["torrents"].select("infohash", "name", "content_type", "state")
-
-
-@query()
-def rate_limited(spark, sf):
-    rows = view(spark, sf, "discovered").select(F.substring_index("ip", ".", 2).alias("ip"), F.col("seen_at").alias("at"), F.col("event_id").alias("seq"))
-    return state.rate_limited(rows, 0.01, 5)
-
-
-@query()
-def sample_500(spark, sf):
-    return routing.sample_keys(view(spark, sf, "torrents"))
+    fetched = view(spark, sf, "fetch_results")
+    stored = fetched.where("seq % 700 < 100").select("infohash")  # a hundred of the keys are known
+    return ingest.ingest(fetched, stored, now(), 20)["torrents"].select("infohash", "name", "content_type", "state")
 
 
 # --- metrics and serving ------------------------------------------------------
