@@ -8,6 +8,10 @@ priors that are smoothed down the hierarchy: all pages, suffix, domain, host, ea
 the level above as so many pseudo-pages. A page's own posterior is left out of its
 domain's and host's sums. The result is the normalised product.
 
+Pages are scanned in linear time, whatever their markup. Sums of hosts, domains and suffixes
+with many pages are sent to all tasks, of which there are few by their share; others are
+joined by key.
+
 Null or empty html has no text and no declaration; a null or odd address has an empty
 host. Pages are judged each by itself, repeated ids too. Ties go to the first language in
 code-point order. Without languages to learn from the language is null. Other columns
@@ -29,14 +33,65 @@ from heronlake.llm import _store
 from heronlake.llm import _words as W
 
 BITS = 16  # of the trigram hash
-TEMPER, MOST_TEXT = 0.2, 40.0  # weight of a trigram, and the most that text may say for one language over another, in nats
+TEMPER = 0.2  # weight of a trigram
+HEAVY = 1000  # a host, domain or suffix with over one in so many pages is heavy; there are fewer than this
 PSEUDO_PAGES, PSEUDO_DECLARED = 5.0, 2.0
-_HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_TAG_END, _LANG = re.compile(rb"\s*>"), re.compile(rb"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+class _Finder:
+    """Where something comes next; what is not found once is not sought again, so that a scan stays linear."""
+
+    def __init__(self, data: bytes):
+        self.data, self.gone = data, set()
+
+    def next(self, what: bytes, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.data.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
 
 
 def visible(page: bytes) -> str:
-    return html.unescape(_HIDDEN.sub(b" ", page).decode("utf-8", "replace"))
+    """The text outside tags, comments, scripts and styles, references resolved, in one pass. A comment or element that never ends hides its own tag alone."""
+    low, out, at = page.lower(), [], 0
+    seek = _Finder(low)
+    while (start := low.find(b"<", at)) >= 0:
+        end = -1
+        if low.startswith(b"<!--", start):
+            found = seek.next(b"-->", start + 4)
+            end = found + 3 if found >= 0 else -1
+        for name in (b"script", b"style"):
+            if low.startswith(name, start + 1) and not low[start + 1 + len(name) : start + 2 + len(name)].isalnum():
+                found = start
+                while (found := seek.next(b"</" + name, found + 1)) >= 0:
+                    if close := _TAG_END.match(low, found + 2 + len(name)):
+                        end = close.end()
+                        break
+        if end < 0:
+            found = seek.next(b">", start)
+            if found < 0:
+                break
+            end = found + 1
+        out += [page[at:start], b" "]
+        at = end
+    out.append(page[at:])
+    return html.unescape(_LONG_REFERENCE.sub("\ufffd", b"".join(out).decode("utf-8", "replace")))
+
+
+def declared_language(page: bytes) -> str | None:
+    """Of the first ``html`` tag that has one."""
+    low, at = page.lower(), 0
+    while (at := low.find(b"<html", at)) >= 0:
+        end = low.find(b">", at)
+        end = len(low) if end < 0 else end
+        if not low[at + 5 : at + 6].isalnum() and (m := _LANG.search(low[at + 5 : end])):
+            return m[1].decode()
+        at = end
+    return None
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -78,8 +133,8 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
 
 
-def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """``page_id, url, declared, text`` (tempered log likelihoods, the best being 0) of each page."""
+def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray, most_text: float | None = None) -> DataFrame:
+    """``page_id, url, declared, text`` (tempered log likelihoods, the best being 0) of each page; ``most_text`` bounds what text may say, in nats."""
     sent = pages.sparkSession.sparkContext.broadcast(logs.T.astype(np.float32).copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +144,8 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                 raw = [x.as_py().encode() if x.is_valid else b"" for x in part.column("html")]
                 bucket, doc, n = _trigrams(pa.array([visible(x) for x in raw], pa.large_string()))
                 text = np.stack([np.bincount(doc, weights=table[bucket, k], minlength=n) for k in range(len(langs))], axis=1) * TEMPER
-                text = np.maximum(text - text.max(axis=1, keepdims=True), -MOST_TEXT)
-                declared = [m[1].decode().lower() if (m := _DECLARED.search(x)) else None for x in raw]
+                text = np.maximum(text - text.max(axis=1, keepdims=True), -np.inf if most_text is None else -most_text)
+                declared = [declared_language(x) for x in raw]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(langs), pa.int32()), pa.array(text.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(declared, pa.string()), lists], names=["page_id", "url", "declared", "text"])
 
@@ -108,6 +163,17 @@ def _normal(logs: Column) -> Column:
     return F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
 
 
+def _with_sums(rows: DataFrame, sums: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` with their key's sums as ``by_<key>``: those of heavy keys are sent to all tasks, so that no task gets such a key's pages; others are joined by key."""
+    heavy = sums.where(F.col("pages") * HEAVY > n).select(F.col(key).alias("__heavy"), F.col("v").alias("__hv"))
+    light = sums.where(F.col("pages") * HEAVY <= n).select(F.col(key).alias("__light"), F.col("v").alias("__lv"))
+    rows = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
+    # Rows that have their sums already go anywhere; no key holds the mark.
+    spread = F.when(F.col("__heavy").isNull(), F.col(key)).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("__to", spread).join(light, F.col("__to") == F.col("__light"), "left")
+    return rows.withColumn(f"by_{key}", F.coalesce("__hv", "__lv")).drop("__heavy", "__hv", "__light", "__lv", "__to")
+
+
 def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     """The posterior over ``langs`` of each row of :func:`evidence`."""
     m = len(langs)
@@ -124,10 +190,11 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     declared = sum_by("declared").withColumn("share", size(F.col("v")) / float(sum(total) or 1.0))
     says = F.zip_with("v", F.array(*(F.lit(t) for t in total)), lambda x, t: (x + PSEUDO_DECLARED * F.col("share")) / (t + PSEUDO_DECLARED))
     joined = rows
+    n = rows.count()
     for key in ("suffix", "domain", "host"):
-        joined = joined.join(sum_by(key).select(key, F.col("v").alias(f"by_{key}")), key)
+        joined = _with_sums(joined, rows.groupBy(key).agg(F.count("*").alias("pages"), *sums).select(key, "pages", vector.alias("v")), key, n)
     says_by = declared.select(F.col("declared").alias("d"), says.alias("says"))
-    joined = joined.join(says_by, joined["declared"].eqNullSafe(F.col("d")))
+    joined = joined.join(F.broadcast(says_by), joined["declared"].eqNullSafe(F.col("d")))  # two or three letters: some 18,000 rows at most
     joined = joined.withColumn("p1", smooth(F.col("by_suffix"), everyone))
     joined = joined.withColumn("p2", smooth(less(F.col("by_domain")), F.col("p1")))
     joined = joined.withColumn("prior", smooth(less(F.col("by_host")), F.col("p2")))
