@@ -3,7 +3,10 @@
 Each package holds ``archive/data.warc.gz`` (a gzip member a record), ``indexes/index.cdx``
 (a line a record, with its offset and length) and ``datapackage.json``, all stored, with
 ZIP64 records. The reader finds members through the central directory, or the ZIP64 one,
-reads the index and then single records by byte range; nothing is extracted.
+reads the index and then single records by byte range; nothing is extracted. It also reads
+other writers' packages: several archive members, JSON or classic index lines, gzipped or
+plain archives and indexes, archives without an index (whole, then), records without page
+ids, HTTP heads or digests.
 
 Records with equal payloads (of ``least`` bytes or more): the one with the largest page id
 is the response, the others revisit it. Null html is an empty payload. A null page id is
@@ -57,19 +60,36 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def _number(s: str | None) -> int | None:
+    """The page of one of our record ids; null for other writers' ids."""
+    digits = (s or "").strip().removeprefix("<").removesuffix(">").removeprefix(ID)
+    return int(digits) if re.fullmatch(r"-?\d{1,18}", digits) else None
+
+
 def parse_record(data: bytes) -> dict:
+    """A WARC record of any writer. Pages are those of our ids; records without an HTTP head are payload whole; a digest that is SHA-1 is checked, any other is worked out."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    length = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", b"\r\n" + http)[1])
-    page = lambda s: int(x) if (x := s[1:-1].removeprefix(ID)) else None
-    out = {"page_id": page(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "url": fields.get("WARC-Target-URI"), "payload_bytes": length}
-    if out["record_type"] == "revisit":
-        return out | {"payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": page(fields["WARC-Refers-To"]), "payload": None}
-    if (digest := payload_digest(payload)) != fields["WARC-Payload-Digest"].removeprefix("sha1:") or len(payload) != length:
-        raise ValueError(f"payload of record {fields['WARC-Record-ID']} is damaged")
-    return out | {"payload_digest": digest, "refers_to": None, "payload": payload}
+    lines = head.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record")
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines[1:]) if colon}
+    length = fields.get("content-length", "")
+    body = rest[: int(length)] if length.isdigit() else rest
+    kind = fields.get("warc-type", "")
+    out = {"page_id": _number(fields.get("warc-record-id")), "record_type": kind, "url": fields.get("warc-target-uri"), "record_id": fields.get("warc-record-id"), "refers_to": None}
+    payload = body
+    size = None
+    if body.startswith(b"HTTP/") or "application/http" in fields.get("content-type", ""):
+        http, _, payload = body.partition(b"\r\n\r\n")
+        size = int(m[1]) if (m := re.search(rb"(?i)\r\ncontent-length: *(\d{1,18})", b"\r\n" + http)) else None
+    said = fields.get("warc-payload-digest", "")
+    said = said.split(":", 1)[1].upper() if said.lower().startswith("sha1:") else None
+    if kind == "revisit":
+        return out | {"payload_bytes": size if size is not None else len(payload), "payload_digest": said, "refers_to": _number(fields.get("warc-refers-to")), "payload": None}
+    digest = payload_digest(payload)
+    if (said and re.fullmatch("[A-Z2-7]{32}", said) and digest != said) or (length.isdigit() and len(body) < int(length)):
+        raise ValueError(f"payload of record {out['record_id']} is damaged")
+    return out | {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload}
 
 
 def package(records: list[bytes], lines: list[str]) -> bytes:
@@ -131,6 +151,87 @@ def member(read, entry: tuple[int, int, int, int]) -> tuple[int, int]:
     return local + 30 + n_name + n_extra, stored
 
 
+def index_line(line: str) -> tuple[str | None, int, int] | None:
+    """File name (null if it names none), offset and length of a line of an index: a key, a time and JSON with these, or the classic eleven fields; null for any other line."""
+    parts = line.split(" ")
+    brace = line.find("{")
+    if brace >= 0:
+        try:
+            got = json.loads(line[brace:])
+            return got.get("filename"), int(got["offset"]), int(got["length"])
+        except (ValueError, KeyError, TypeError):
+            return None
+    if len(parts) >= 11 and parts[-3].isdigit() and parts[-2].isdigit():
+        return parts[-1], int(parts[-2]), int(parts[-3])
+    return None
+
+
+def located(get, size: int, checked: bool = False):
+    """``(member, offset, length, start)`` of each record that the package's indexes name: the bytes are at ``start + offset``.
+
+    Any index (``indexes/``, plain or gzipped) and any stored archive member will do. Archives without an index line are read member by member
+    (``length`` is null). With ``checked``, members' CRCs are compared, which reads them whole.
+    """
+    entries = directory(get, size)
+    archives = {n: member(get, e) for n, e in entries.items() if re.search(r"\.warc(\.gz)?\Z", n)}
+    if checked:
+        for n, e in entries.items():
+            if e[0] == 0 and e[3] != _crc(get, *member(get, e)):
+                raise ValueError(f"member {n} is damaged")
+    by_name = {n.rpartition("/")[2]: n for n in archives}
+    named: set[str] = set()
+    for n in sorted(entries):
+        if re.search(r"\.(cdxj?|idx)(\.gz)?\Z", n) and not n.endswith(".idx"):
+            at, length = member(get, entries[n])
+            data = get(at, length)
+            for line in (_gunzip(data) if n.endswith(".gz") else data).decode("utf-8", "replace").splitlines():
+                got = index_line(line)
+                if got is None:
+                    continue
+                name = by_name.get((got[0] or "").rpartition("/")[2]) or (next(iter(archives)) if got[0] is None and len(archives) == 1 else None)
+                if name:
+                    named.add(name)
+                    yield name, got[1], got[2], archives[name][0]
+    for name in sorted(set(archives) - named):
+        yield name, None, None, archives[name][0]
+
+
+def _crc(get, at: int, n: int) -> int:
+    out = 0
+    for k in range(at, at + n, 1 << 20):
+        out = zlib.crc32(get(k, min(1 << 20, at + n - k)), out)
+    return out
+
+
+def _gunzip(data: bytes) -> bytes:
+    """All members of a gzip file."""
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        data = z.unused_data
+    return b"".join(out)
+
+
+def records(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """``offset, record`` of a whole archive member, gzipped record by record or plain."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] == b"\x1f\x8b":
+            z = zlib.decompressobj(31)
+            body = z.decompress(data[at:])
+            used = len(data) - at - len(z.unused_data)
+            yield at, body
+        else:
+            end = data.find(b"\r\n\r\n", at)
+            m = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})", data[at:end]) if end >= 0 else None
+            if not m:
+                return
+            used = end + 4 + int(m[1]) + 4 - at
+            yield at, data[at : at + used]
+        at += used
+
+
 def _open(uri: str):
     system, path = pafs.FileSystem.from_uri(uri)
     return system, path
@@ -163,7 +264,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PA
             for page_id, url, payload, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = deflate.compress(record(page_id, url, payload.as_py(), refers_to)) + deflate.flush()
-                lines.append(f"{(url or '-').lower().split()[0] if (url or '-').split() else '-'} {DATE} {json.dumps({'page': page_id, 'offset': at, 'length': len(data)})}\n")
+                lines.append(f"{(url or '-').lower().split()[0] if (url or '-').split() else '-'} {DATE} {json.dumps({'page': page_id, 'filename': WARC.rpartition('/')[2], 'offset': at, 'length': len(data)})}\n")
                 held.append(data)
                 at += len(data)
                 if at >= package_bytes:
@@ -188,17 +289,20 @@ def read(packages: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
             for name in b.column("package").to_pylist():
                 with system.open_input_file(f"{top}/{name}") as f:
                     get = lambda at, n, f=f: f.read_at(n, at)
-                    entries = directory(get, f.size())
-                    (index, n), (start, _) = member(get, entries[INDEX]), member(get, entries[WARC])
                     out, held = [], 0
-                    for line in get(index, n).decode().splitlines():
-                        where = json.loads(line.split(" ", 2)[2])
-                        got = parse_record(zlib.decompress(get(start + where["offset"], where["length"]), 31)) | {"package": name, "offset": where["offset"]}
-                        out.append(got)
-                        held += got["payload_bytes"] if payloads else 1
-                        if held >= (16 << 20 if payloads else 20_000):
-                            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=False)], names=names)
-                            out, held = [], 0
+                    for where, offset, length, start in located(get, f.size()):
+                        if offset is None:
+                            found = records(get(*member(get, directory(get, f.size())[where])))
+                        else:
+                            raw = get(start + offset, length)
+                            found = [(offset, _gunzip(raw) if raw[:2] == b"\x1f\x8b" else raw)]
+                        for at, data in found:
+                            got = parse_record(data) | {"package": name, "offset": at}
+                            out.append(got)
+                            held += got["payload_bytes"] if payloads else 1
+                            if held >= (16 << 20 if payloads else 20_000):
+                                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=False)], names=names)
+                                out, held = [], 0
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=False)], names=names)
 
