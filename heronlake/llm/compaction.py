@@ -6,7 +6,12 @@ file, written aside and renamed to its number without overwriting, so that a ver
 there whole or not at all and of two writers one fails. Compaction takes tiers with
 enough shards below the target size, packs them into bins of about the target and
 rewrites each bin as one file in one task, which reads its own shards only. Shards are
-never changed; those that a version replaced are removed afterwards.
+never changed, and those that a version replaced stay for readers of older versions;
+:meth:`ShardSet.expire` removes them once the last :data:`KEPT_VERSIONS` no longer hold them
+and a grace time has passed.
+
+A manifest names its entries in pieces of :data:`PIECE` shards, which later versions share as
+long as none of a piece's shards is replaced, so a version writes what it changed.
 
 Rows are kept as they come: nulls, empty and very long texts, repeated rows and any
 columns. An empty arrival adds no shard but still makes a version.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -27,6 +33,8 @@ from heronlake.llm import _store
 
 TARGET_BYTES, TIER_BYTES, TIER_RATIO, LEAST_SHARDS = 64 << 20, 1 << 20, 4, 4
 BINS_A_JOB = 64  # bins that one Spark job rewrites
+PIECE = 10_000  # shards in a piece of a manifest
+KEPT_VERSIONS, GRACE_SECONDS = 8, 3600  # what :meth:`ShardSet.expire` leaves to readers
 
 
 @dataclass(frozen=True)
@@ -67,31 +75,68 @@ class ShardSet:
         fs, p = _store.file_system(self.spark, f"{self.root}/manifest")
         return max((int(f.getPath().getName()[1:-5]) for f in fs.listStatus(p) if f.getPath().getName().startswith("v")), default=0) if fs.exists(p) else 0
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
-        if not version:
-            return []
-        fs, p = _store.file_system(self.spark, f"{self.root}/manifest/v{version:08d}.json")
+    def _json(self, path: str) -> dict:
+        fs, p = _store.file_system(self.spark, path)
         stream = fs.open(p)
         try:
-            return [Shard(**s) for s in json.loads(bytes(stream.readAllBytes()))["shards"]]
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def commit(self, shards: list[Shard], based_on: int) -> int:
-        """A new version after ``based_on``; fails if another writer was first."""
-        new = based_on + 1
-        fs, aside = _store.file_system(self.spark, _store.new_path(self.spark, "manifest"))
+    def _put(self, path: str, content: dict) -> None:
+        """Whole or not at all, and never over another file: written beside its place and renamed."""
+        fs, p = _store.file_system(self.spark, path)
+        fs.mkdirs(p.getParent())
+        _, aside = _store.file_system(self.spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
         out = fs.create(aside)
-        out.write(bytearray(json.dumps({"version": new, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        _, p = _store.file_system(self.spark, f"{self.root}/manifest/v{new:08d}.json")
-        fs.mkdirs(p.getParent())
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(aside, p, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+
+    def _pieces(self, version: int) -> dict[str, list[Shard]]:
+        if not version:
+            return {}
+        names = self._json(f"{self.root}/manifest/v{version:08d}.json")["pieces"]
+        return {n: [Shard(**s) for s in self._json(f"{self.root}/manifest/{n}")["shards"]] for n in names}
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [s for piece in self._pieces(self.version() if version is None else version).values() for s in piece]
+
+    def commit(self, shards: list[Shard], based_on: int) -> int:
+        """A new version after ``based_on``; fails if another writer was first. Pieces that hold live shards alone are kept as they are."""
+        new, live = based_on + 1, {s.path for s in shards}
+        same = {n: piece for n, piece in self._pieces(based_on).items() if all(s.path in live for s in piece)}
+        held = {s.path for piece in same.values() for s in piece}
+        rest = [s for s in shards if s.path not in held]
+        names = list(same)
+        for at in range(0, len(rest), PIECE):
+            names.append(f"p{new:08d}-{at // PIECE}-{uuid.uuid4().hex[:8]}.json")
+            self._put(f"{self.root}/manifest/{names[-1]}", {"shards": [asdict(s) for s in rest[at : at + PIECE]]})
+        if len(names) > 1 and sum(len(same[n]) for n in same) < PIECE // 2 and same:  # small pieces become one again
+            every = [s for n in same for s in same[n]] + rest
+            names = [f"p{new:08d}-all-{uuid.uuid4().hex[:8]}.json"]
+            self._put(f"{self.root}/manifest/{names[0]}", {"shards": [asdict(s) for s in every]})
+        self._put(f"{self.root}/manifest/v{new:08d}.json", {"version": new, "pieces": names})
         return new
 
+    def expire(self, keep: int = KEPT_VERSIONS, grace: int = GRACE_SECONDS) -> list[str]:
+        """Removes data files that none of the last ``keep`` versions holds and that are older than ``grace`` seconds; their paths."""
+        import time
+
+        now = self.version()
+        wanted = {s.path for v in range(max(1, now - keep + 1), now + 1) for s in self.shards(v)}
+        fs, top = _store.file_system(self.spark, f"{self.root}/data")
+        gone, until = [], (time.time() - grace) * 1000
+        for folder in fs.listStatus(top) if fs.exists(top) else []:
+            for f in fs.listStatus(folder.getPath()):
+                path = f.getPath().toString()
+                if path.endswith(".parquet") and path not in wanted and f.getModificationTime() <= until:
+                    fs.delete(f.getPath(), False)
+                    gone.append(path)
+        return gone
+
     def _write(self, df: DataFrame, version: int, name: str) -> list[Shard]:
         """One shard for each partition with rows, in the order of the partitions."""
         path = f"{self.root}/data/{version:08d}-{name}-{_store.new_path(self.spark, 's')[-8:]}"
@@ -119,7 +164,6 @@ class ShardSet:
                 merged += self._write(reduce(DataFrame.union, parts), base + 1, f"merge{at}")
             old = {s.path for b in bins for s in b}
             self.commit([s for s in live if s.path not in old] + merged, base)
-            _store.drop(self.spark, *old)
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = [s.path for s in self.shards(version)]
