@@ -89,6 +89,67 @@ def test_damage_is_seen():
         warc_zip.parse_record(r.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n"))
 
 
+def _foreign(gzipped: bool, index: str) -> bytes:
+    """A package of another writer: two archives, headers in other case, a record of the crawl, one without HTTP, one without a length in its head."""
+    import gzip
+
+    def warc(kind, rid, body, **more):
+        head = [f"warc-type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", *(f"{k.replace('_', '-')}:  {v}" for k, v in more.items()), f"content-length: {len(body)}"]
+        return "WARC/1.0\r\n".encode() + "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    parts = {
+        "archive/one.warc": [warc("warcinfo", 1, b"software: other\r\n"), warc("response", 2, b"HTTP/1.1 200 OK\r\n\r\nbody", WARC_Target_URI="http://a/"), warc("resource", 3, b"plain text")],
+        "archive/two.warc": [warc("response", 4, b"HTTP/1.0 200 OK\r\ncontent-LENGTH: 3\r\n\r\nabc", WARC_Payload_Digest="sha1:" + warc_zip.payload_digest(b"abc")), warc("revisit", 5, b"", WARC_Payload_Digest="sha256:00")],
+    }
+    out, lines = io.BytesIO(), []
+    with zipfile.ZipFile(out, "w") as z:
+        for name, records in parts.items():
+            name, at, data = name + ".gz" * gzipped, 0, b""
+            for r in records:
+                one = gzip.compress(r) if gzipped else r
+                short = name.rpartition("/")[2]
+                lines.append(f'com,a)/ 20200101000000 {{"url": "http://a/", "offset": "{at}", "length": "{len(one)}", "filename": "{short}"}}' if index == "json" else f"com,a)/ 20200101000000 http://a/ text/html 200 AAAA - - {len(one)} {at} {short}")
+                data, at = data + one, at + len(one)
+            z.writestr(name, data)
+        if index:
+            text = "\n".join([" CDX N b a m s k r M S V g", "no line of an index", *lines]).encode()
+            z.writestr("indexes/index.cdx.gz" if index == "json" else "indexes/index.cdx", gzip.compress(text) if index == "json" else text)
+        z.writestr("pages/pages.jsonl", "{}")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("gzipped", [True, False])
+@pytest.mark.parametrize("index", ["json", "classic", ""])
+def test_packages_of_other_writers(spark, tmp_path, gzipped, index):
+    (tmp_path / "other.wacz").write_bytes(_foreign(gzipped, index))
+    got = warc_zip.read(spark.createDataFrame([("other.wacz",)], "package string"), f"file://{tmp_path}", payloads=True).collect()
+    assert sorted((r.record_type, r.payload_bytes, bytes(r.payload) if r.payload is not None else None) for r in got if r.record_type != "revisit") == [("resource", 10, b"plain text"), ("response", 3, b"abc"), ("response", 4, b"body"), ("warcinfo", 17, b"software: other\r\n")]
+    (again,) = [r for r in got if r.record_type == "revisit"]
+    assert (again.page_id, again.refers_to, again.payload) == (None, None, None)
+
+
+def test_member_checksums():
+    data = bytearray(warc_zip.package([b"WARC/1.1 abc"], []))
+    get = lambda at, n: bytes(data[at : at + n])
+    assert len(list(warc_zip.located(get, len(data), checked=True))) == 1
+    data[data.index(b"abc")] = 0x41
+    with pytest.raises(ValueError):
+        list(warc_zip.located(get, len(data), checked=True))
+
+
+def test_old_versions_stay_readable(spark):
+    """A reader of a replaced version keeps its files until they are expired; pieces are shared between versions."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    s = compaction.ShardSet(spark, _store.new_path(spark, "shards"), df.schema, target=1 << 20)
+    for k in range(5):
+        s.append(df.where(df["doc_id"] % 5 == k).coalesce(1))
+    old = s.version()
+    new = s.compact()
+    assert new > old and s.read(old).count() == s.read(new).count() == 400
+    assert s.expire(keep=1, grace=3600) == [] and s.read(old).count() == 400
+    assert len(s.expire(keep=1, grace=-60)) == 5 and s.read(new).count() == 400 and len(s.shards(new)) == 1
+
+
 def test_compaction_keeps_every_row(odd, plain):
     got = compaction.digest(odd, target=1 << 16)
     rows = got.collect()

@@ -277,3 +277,90 @@ def test_languages(spark, odd):
 
 def test_visible_text():
     assert re.sub(r"\s+", " ", language_id.visible(b"<style>p{}</style><p>a &amp; b<!-- c --><SCRIPT>d</SCRIPT >")).strip() == "a & b"
+
+
+def test_scans_are_linear():
+    import time
+
+    began = time.time()
+    for part in (b"<!--", b"<script>", b"<style ", b"</script", b"<html lang ", b"<html ", b"&#", b"&amp", b"<", b"<!-- --", b"<script></scriptx"):
+        page = part * (1_000_000 // len(part))
+        language_id.visible(page), language_id.declared_language(page)
+    language_id.visible(b"&#" + b"9" * 1_000_000)
+    assert time.time() - began < 11
+
+
+def plain_visible(page: bytes) -> str:
+    """As patterns say it, for small pages."""
+    import html
+
+    return html.unescape(re.sub(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", b" ", page).decode("utf-8", "replace"))
+
+
+def test_visible_text_of_odd_markup():
+    r = random.Random(31)
+    parts = ["<!--", "-->", "<script>", "</script>", "</script >", "<style a=b>", "</style\n>", "<p>", "text ", "&amp;", "<", ">", "é", "<scripted>", "</scripts>", "<STYLE>", "<a href='x'>"]
+    for _ in range(3000):
+        page = "".join(r.choice(parts) for _ in range(r.randrange(12))).encode()
+        assert re.sub(r"\s+", " ", language_id.visible(page)) == re.sub(r"\s+", " ", plain_visible(page)), page
+
+
+def plain_languages(pages, docs):
+    """The same fusion from first principles, over rows."""
+    langs = sorted({x for _, x in docs if x is not None})
+
+    def grams(t: bytes):
+        t = t.lower()
+        return [((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for a, b, c in zip(t, t[1:], t[2:], strict=False)]
+
+    model = {}
+    for x in langs:
+        c = Counter(g for t, y in docs if y == x for g in grams((t or "").encode()))
+        total = sum(c.values()) + 0.5 * 65536
+        model[x] = lambda g, c=c, total=total: math.log((c[g] + 0.5) / total)
+    rows = []
+    for i, url, page in pages:
+        text = [0.2 * sum(map(model[x], grams(plain_visible((page or "").encode()).encode()))) for x in langs]
+        own = [math.exp(t - max(text)) for t in text]
+        own = [p / sum(own) for p in own]
+        m = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", page or "")
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        host = host[1].lower() if host else ""
+        rows.append((i, text, own, m[1].lower() if m else None, host, ".".join(host.split(".")[-2:]), host.split(".")[-1]))
+    add = lambda got: [sum(v) for v in zip(*got, strict=True)]
+    total = add([r[2] for r in rows])
+    everyone = [(t + 1) / (sum(total) + len(langs)) for t in total]
+    smooth = lambda v, above: [(max(x, 0) + 5 * y) / (max(sum(v), 0) + 5) for x, y in zip(v, above, strict=True)]
+    out = {}
+    for i, text, own, declared, host, domain, suffix in rows:
+        p = smooth(add([r[2] for r in rows if r[6] == suffix]), everyone)
+        p = smooth([a - b for a, b in zip(add([r[2] for r in rows if r[5] == domain]), own, strict=True)], p)
+        p = smooth([a - b for a, b in zip(add([r[2] for r in rows if r[4] == host]), own, strict=True)], p)
+        logs = [t + math.log(q) for t, q in zip(text, p, strict=True)]
+        if declared:
+            v = add([r[2] for r in rows if r[3] == declared])
+            logs = [x + math.log((a + 2 * sum(v) / sum(total)) / (t + 2)) for x, a, t in zip(logs, v, total, strict=True)]
+        e = [math.exp(x - max(logs)) for x in logs]
+        out[i] = langs[max(range(len(langs)), key=lambda k: (e[k], -k))], max(e) / sum(e)
+    return out
+
+
+def test_languages_against_a_plain_version(monkeypatch, spark):
+    """Every page's language and confidence; with a heavy host, and with none that counts as heavy."""
+    r = random.Random(17)
+    words = {"en": "the house is old and river was near with that", "de": "das haus ist alt und fluss war nicht mit einem", "fr": "la maison est vieille et le fleuve dans une avec"}
+    say = lambda x, n: " ".join(r.choice(words[x].split()) for _ in range(n))
+    docs = [(say(x, 30), x) for x in [*words] * 8] + [(None, "en"), ("x", None)]
+    pages = []
+    for i in range(60):
+        x = r.choice([*words])
+        host = r.choice(["big.example.com", "big.example.com", f"{x}.site.{x}", "www.site.de", ""])
+        tag = r.choice(["<html>", f"<html lang={x}>", '<html dir=ltr lang="zz">', ""])
+        pages.append((i, f"https://u@{host}:80/{i}" if host else r.choice([None, "nonsense"]), f"{tag}<p>{say(x, r.randrange(0, 6))}</p>" if i % 9 else None))
+    want = plain_languages(pages, docs)
+    p, d = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "text string, lang string")
+    for heavy in (1000, 2):
+        monkeypatch.setattr(language_id, "HEAVY", heavy)
+        got = {x.page_id: (x.lang, x.confidence) for x in language_id.digest(p, d).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-4) and (got[i][0] == want[i][0] or want[i][1] < 0.5) for i in want)
