@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heronlake.session import read_spread
+
 _HASH = "sha1(concat('o', CAST({} AS VARCHAR(20))))"
 
 #: Release names: a part's name, a season or year, tags and an ending, all by the order's number.
@@ -57,10 +59,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views above; timestamps become instants (UTC sessions are expected)."""
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """One of the views above, for ``heavy`` work a row or not; timestamps become instants (UTC sessions are expected)."""
     text = SQL[name]
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    read = (lambda t: read_spread(spark, f"{sf_dir}/{t}.parquet")) if heavy else (lambda t: table(spark, sf_dir, t))
+    used = {t: read(t) for t in TABLES if "{" + t + "}" in text}
     df = spark.sql(text, **used)
     return df.select(*(df[f.name].cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else df[f.name] for f in df.schema.fields))
 

@@ -90,36 +90,36 @@ judged AS (SELECT c.*, CASE WHEN total_size < 52428800 OR total_size > 161061273
 
 @query(f"{cte('torrents')}, {_CLASSIFIED} SELECT infohash, content_type, title, year, quality, encoding, dynamic_range, source, release_group FROM classified")
 def classify_names(spark, sf):
-    return C.classify(view(spark, sf, "torrents")).select("infohash", *(f"result.{c}" for c in ("content_type", "title", "year", "quality", "encoding", "dynamic_range", "source", "release_group")))
+    return C.classify(view(spark, sf, "torrents", heavy=True)).select("infohash", *(f"result.{c}" for c in ("content_type", "title", "year", "quality", "encoding", "dynamic_range", "source", "release_group")))
 
 
 @query(f"{cte('torrents')}, {_CLASSIFIED} SELECT infohash, season, episode FROM classified WHERE content_type IN ('tv', 'anime')")
 def classify_tv_numbers(spark, sf):
-    return C.classify(view(spark, sf, "torrents")).where(F.col("result.content_type").isin("tv", "anime")).select("infohash", "result.season", "result.episode")
+    return C.classify(view(spark, sf, "torrents", heavy=True)).where(F.col("result.content_type").isin("tv", "anime")).select("infohash", "result.season", "result.episode")
 
 
 @query(f"{cte('torrents')}, {_CLASSIFIED} SELECT title, content_type, count(*) AS n FROM classified GROUP BY ALL")
 def classify_titles(spark, sf):
-    return C.classify(view(spark, sf, "torrents")).groupBy("result.title", "result.content_type").agg(F.count("*").alias("n"))
+    return C.classify(view(spark, sf, "torrents", heavy=True)).groupBy("result.title", "result.content_type").agg(F.count("*").alias("n"))
 
 
 @query(f"{cte('torrents', 'torrent_files')}, {_CLASSIFIED}, {_FILES} SELECT infohash, reason AS rejection_reason, CASE WHEN reason = '' THEN 'classified' ELSE 'rejected' END AS state FROM judged")
 def reject_cascade(spark, sf):
-    rows = catalog.with_files(view(spark, sf, "torrents"), view(spark, sf, "torrent_files"))
+    rows = catalog.with_files(view(spark, sf, "torrents", heavy=True), view(spark, sf, "torrent_files"))
     return C.classify(rows).select("infohash", "result.rejection_reason", "result.state")
 
 
 @query(f"""{cte('torrents', 'torrent_files')}, {_CLASSIFIED}, {_FILES}, moved AS (SELECT *, CASE WHEN old_state IN ('pending', 'rejected') THEN CASE WHEN reason = '' THEN 'classified' ELSE 'rejected' END ELSE old_state END AS new_state FROM judged)
 SELECT infohash, old_type, old_state, content_type AS new_type, new_state, nullif(title, '') AS title, nullif(year, 0) AS year, nullif(season, 0) AS season FROM moved WHERE old_type <> content_type OR old_state <> new_state""")
 def reclassify_diff(spark, sf):
-    rows = C.reclassify(view(spark, sf, "torrents"), view(spark, sf, "torrent_files"))
+    rows = C.reclassify(view(spark, sf, "torrents", heavy=True), view(spark, sf, "torrent_files"))
     return rows.select("infohash", "old_type", "old_state", "new_type", "new_state", F.col("set_classified_title").alias("title"), F.col("set_classified_year").alias("year"), F.col("set_classified_season").alias("season"))
 
 
 @query(f"""{cte('torrents', 'torrent_files')}, {_CLASSIFIED}, {_FILES}, moved AS (SELECT *, CASE WHEN old_state IN ('pending', 'rejected') THEN CASE WHEN reason = '' THEN 'classified' ELSE 'rejected' END ELSE old_state END AS new_state FROM judged)
 SELECT infohash || ' "' || name || '": content_type ' || old_type || '→' || content_type || ', state ' || old_state || '→' || new_state AS line FROM moved WHERE old_type <> content_type OR old_state <> new_state""")
 def reclassify_lines(spark, sf):
-    return C.diff_line(C.reclassify(view(spark, sf, "torrents"), view(spark, sf, "torrent_files")))
+    return C.diff_line(C.reclassify(view(spark, sf, "torrents", heavy=True), view(spark, sf, "torrent_files")))
 
 
 @query(f"""{cte('fetch_results')} SELECT count(*) FILTER ({_m(_NORM.format('name'), P.BLOCKED)}) AS n_blocked, count(*) AS n FROM fetch_results""")
@@ -255,7 +255,7 @@ def update_state(spark, sf):
 @query(f"""{cte('torrents')}, {_CLASSIFIED} SELECT infohash, coalesce(nullif(c.quality, ''), NULL) AS quality, c.content_type FROM classified c WHERE old_state = 'pending'
 UNION ALL SELECT infohash, quality, content_type FROM torrents WHERE state <> 'pending'""")
 def update_classified(spark, sf):
-    t = view(spark, sf, "torrents")
+    t = view(spark, sf, "torrents", heavy=True)
     new = C.classify(t.where("state = 'pending'")).select("infohash", F.nullif("result.quality", F.lit("")).alias("quality"), F.col("result.content_type").alias("content_type"))
     return dml.overwrite(t, new, ["quality", "content_type"]).select("infohash", "quality", "content_type")
 

@@ -7,7 +7,18 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+SMALL_BYTES = 64 << 20  # of a table that is dealt anew to all cores
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for work that is heavy a row. One of a few row groups would keep a few cores busy, so the rows of a small table are dealt out first; larger ones are read as they lie."""
+    df = spark.read.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
 
 
 def ship(spark: SparkSession) -> SparkSession:
