@@ -193,11 +193,12 @@ def hub_pairs(branches: DataFrame, num: int, den: int) -> DataFrame:
 class _Trie:
     """The sets of one branch, sorted by path; pairs split where their paths do, once each."""
 
-    def __init__(self, rows: list[tuple], num: int, den: int):
+    def __init__(self, rows: list[tuple], num: int, den: int, two: bool = False):
+        """With ``two``, only pairs of different sides (a row's last value) are sought."""
         rows.sort(key=lambda r: r[4])
-        self.id, self.n, self.left, self.comp, self.block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3, 5))
+        self.id, self.n, self.left, self.comp, self.side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3, 5))
         self.path = [r[4] for r in rows]
-        self.num, self.den = num, den
+        self.num, self.den, self.two = num, den, two
         self.found: list[tuple[int, int]] = []
 
     def need(self, a, b):
@@ -208,8 +209,8 @@ class _Trie:
         stack = [(low, high, depth)]
         while stack:
             low, high, depth = stack.pop()
-            if high - low < 2 or self.comp[low:high].min() == self.comp[low:high].max():
-                continue  # one set, or all connected already
+            if high - low < 2 or self.comp[low:high].min() == self.comp[low:high].max() or (self.two and self.side[low:high].min() == self.side[low:high].max()):
+                continue  # one set, or all connected already, or of one side
             ends, at = [], low
             while at < high:
                 head = self.path[at][depth : depth + 1]
@@ -234,6 +235,8 @@ class _Trie:
         for x in range(a, z):
             bound = 1 + depth + np.minimum(self.left[x] - depth - inner, rest_left)
             ok = (bound >= self.need(self.n[x], rest_n)) & (self.comp[z:high] != self.comp[x])
+            if self.two:
+                ok &= self.side[z:high] != self.side[x]
             for y in np.flatnonzero(ok) + z:
                 self.pair(x, int(y), depth)
 
@@ -253,12 +256,20 @@ class _Trie:
 
 def trie_pairs(branches: DataFrame, sets: DataFrame, freq, num: int, den: int) -> DataFrame:
     """Pairs of unconnected sets that a branch's trie cannot rule out. ``branches``: ``token, id, n, pos, comp``; ``sets``: ``id, tokens``."""
-    many = branches.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token", "rows")
+    # A branch's largest component meets the others, which alone meet each other too: a hot branch that is all but connected is dealt once.
+    parts = branches.groupBy("token", "comp").agg(F.count("*").alias("of"))
+    many = parts.groupBy("token").agg(F.sum("of").alias("rows"), F.max("of").alias("most"), F.max_by("comp", F.struct("of", "comp")).alias("top")).where("rows != most")
     rows = branches.join(many, "token").join(sets.select("id", "tokens"), "id").withColumn("path", F.slice("tokens", F.col("pos") + 2, F.lit(PATH))).drop("tokens")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "pos", "comp", "path")
+    split = F.col("rows") > BLOCK
+    rows = rows.withColumns({"main": split & (F.col("comp") == F.col("top")), "others": F.when(split, F.col("rows") - F.col("most")).otherwise(F.col("rows"))})
+    own, far = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
+    rows = rows.withColumns({"own": own, "far": F.when(split, far).otherwise(0)}).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("far")).otherwise(F.col("own"))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    among = F.transform(upto(F.col("own")), lambda o: F.struct(F.lit(False).alias("apart"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    across = F.transform(upto(F.col("far")), lambda o: F.struct(F.lit(True).alias("apart"), o.alias("i"), F.col("block").alias("j")))
+    main = F.transform(upto(F.col("own")), lambda o: F.struct(F.lit(True).alias("apart"), F.col("block").alias("i"), o.alias("j")))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("main"), main).otherwise(F.concat(among, across))))
+    rows = rows.select("token", "to.apart", "to.i", "to.j", "block", "main", "id", "n", "pos", "comp", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = freq.value
@@ -269,20 +280,19 @@ def trie_pairs(branches: DataFrame, sets: DataFrame, freq, num: int, den: int) -
                 flat = np.asarray(lists.values).view(W.U)
                 order = list(zip(table[(flat >> W.U(64 - BUCKET_BITS)).astype(np.int64)].tolist(), flat.tolist(), strict=True))
                 ends = np.asarray(lists.offsets).tolist()
-                cols = [b.column(c).to_pylist() for c in ("token", "i", "j", "block", "id", "n", "pos", "comp")]
-                for at, (token, i, j, block, id_, n, pos, comp) in enumerate(zip(*cols, strict=True)):
-                    yield (token, i, j), (id_, n, n - pos - 1, comp, order[ends[at] : ends[at + 1]], block)
+                cols = [b.column(c).to_pylist() for c in ("token", "apart", "i", "j", "block", "main", "id", "n", "pos", "comp")]
+                for at, (token, apart, i, j, block, main, id_, n, pos, comp) in enumerate(zip(*cols, strict=True)):
+                    # Sets that meet elsewhere count as one side here.
+                    side = int(main) if apart else block
+                    yield (token, apart, i, j), (id_, n, n - pos - 1, comp, order[ends[at] : ends[at + 1]], side)
 
         done: list[tuple[int, int]] = []
-        for (_, i, j), group in groupby(each(), key=lambda r: r[0]):
+        for (_, apart, i, j), group in groupby(each(), key=lambda r: r[0]):
             got = [r for _, r in group]
             if len(got) < 2:
                 continue
-            trie = _Trie(got, num, den)
+            trie = _Trie(got, num, den, apart or i != j)  # pairs of one side are found where it meets itself
             trie.walk(0, len(got), 0)
-            if i != j and trie.found:  # pairs within a block are found where it meets itself
-                where = dict(zip(trie.id.tolist(), trie.block.tolist(), strict=True))
-                trie.found = [(a, b) for a, b in trie.found if where[a] != where[b]]
             done += trie.found
             if len(done) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in done], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -290,7 +300,7 @@ def trie_pairs(branches: DataFrame, sets: DataFrame, freq, num: int, den: int) -
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in done], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    keys = ["token", "i", "j"]
+    keys = ["token", "apart", "i", "j"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -327,10 +337,14 @@ def digest(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component; a row that repeats an id goes with its first."""
+    """The rows of ``docs`` that are the first of their component, and of the rows that repeat an id one, that with the least text; rows without an id stay."""
     names = digest(docs, k, num, den)
-    gone, _ = _store.kept_table(names.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(_ids(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    ids = names.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    odd, _ = _store.kept_table(ids.where("gone OR n > 1").select(F.col("doc_id").alias("__id"), "gone"), "gone")
+    left = docs.join(_ids(odd.select("__id")), docs["doc_id"] == F.col("__id"), "left_anti")
+    again = docs.join(_ids(odd.where("NOT gone").select("__id")), docs["doc_id"] == F.col("__id"), "left_semi")
+    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("__r")).select("__r.*")
+    return left.unionByName(one.select(*docs.columns))
 
 
 ORACLE = r"""
