@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heronlake.llm import compaction, decontamination, language_id, mixing, ngram_join, ppm, quality_rules, token_files, warc_zip, weak_labels
-from heronlake.session import ship
+from heronlake.session import read_spread, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
