@@ -22,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own = ""
+_kept: list[str] = []  # paths of tables that :func:`release` removes
 
 BATCH_BYTES = 4 << 20  # of an Arrow batch sent to Python; a longer document makes a batch of its own
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -44,6 +45,7 @@ def kept_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written once to the shared folder and read again, so that a lost executor costs no recomputation; its path."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -53,6 +55,12 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def release(spark: SparkSession) -> None:
+    """Removes every table that operators of this process wrote to the shared folder, those behind results handed on too: call it when these have been used."""
+    while _kept:
+        drop(spark, _kept.pop())
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = file_system(spark, path)

@@ -12,6 +12,7 @@ text order. Other columns are not written. An empty table writes no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -54,11 +55,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the short cuts are held against: case, accents, marks, digits, contractions and odd spaces.
+_PROBES = ("Hello, World! it's 42 o'clock", "ÀÉÎ ß ÿ øre; naïve façade...", " a\tb\n\nc  d ", "#tag $5.00 100% a&b x|y", "ABCdef ghiJKL mno!?", "don't we'll 3rd 007", "Ünï-cödé (test) [x] {y}", "a.b,c;d:e", "x\u00a0y z\u2028w")
+
+
 class Encoder:
     """Ids of white-space separated chunks, each encoded once while it is remembered.
 
-    The tokenizer drops white space and splits there, so a text's ids are those of its
-    chunks one after another.
+    This holds for a tokenizer that drops white space and splits there: a text's ids are
+    then those of its chunks one after another. A tokenizer for which it does not hold, by
+    its parts or on :data:`_PROBES`, encodes whole texts plainly.
     """
 
     def __init__(self, path: str):
@@ -73,6 +79,18 @@ class Encoder:
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.chunks = _Chunks(self.learn)
         self.runs: dict[str, bytes] = {}
+        self.plain = False
+        self.plain = not self._splits_at_space() or any(a != self._whole(t) for t, a in zip(_PROBES, self.encode([p.encode() for p in _PROBES], b""), strict=True))
+
+    def _splits_at_space(self) -> bool:
+        """Whether the parts are those that the short cuts follow: lower case after composition and single spaces, split and dropped white space, then bytes."""
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = lambda part, key: [x["type"] for x in part[key]] if part and part["type"] == "Sequence" else [part["type"]] if part else []
+        split = [x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        return kinds(spec["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds(spec["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and spec["model"]["type"] == "BPE"
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def run(self, s: str) -> bytes:
         got = self.runs.get(s)
@@ -84,9 +102,11 @@ class Encoder:
         text = chunk.decode("utf-8", "replace")
         if m := _PLAIN.fullmatch(text):
             return self.run(m[1].lower()) + self.run(m[2])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+        return self._whole(text)
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        if self.plain:
+            return [self._whole(t.decode("utf-8", "replace")) + end for t in texts]
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         if len(self.runs) > RUNS:

@@ -120,6 +120,17 @@ def test_token_files(spark, odd, plain, encoding, tmp_path):
     assert one.count() == 1 and "ids" not in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_other_tokenizers_encode_plainly():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert not token_files.Encoder(token_files.default_tokenizer()).plain
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, own = token_files.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello,  World's\n two lines", "", "  x", "naïve 42"]
+    assert other.plain and [np.frombuffer(x, "<i4").tolist() for x in other.encode([t.encode() for t in texts], b"")] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_empty(odd):
     assert token_files.write_and_read(odd.limit(0)).count() == 0
     with pytest.raises(ValueError):
