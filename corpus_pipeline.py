@@ -1,4 +1,11 @@
-"""A training corpus in five stages, each over all that the one before kept."""
+"""A training corpus in five stages, each over all that the one before kept.
+
+Null and empty texts have too few words and go in the first stage, so that later stages
+see none; a null id passes all stages by its text alone. Of rows that repeat an id one is
+left after near duplicates. Documents that tie for a group's first do so by id, the least
+stays. Very long texts are whole in every stage. An empty table gives no rows, and columns
+beyond those of documents are carried through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = _store.kept_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = _store.kept_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            _store.drop(spark, before)  # the next stage's table is whole
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
