@@ -36,6 +36,7 @@ from heronlake.llm import _store
 
 PACKAGE_BYTES = 32 << 20  # of compressed records, after which a package is closed
 BROADCAST_ROWS = 500_000  # repeated payloads (28 bytes each) that may be sent to all executors
+READ_TASKS = 10_000  # that packages are read in, one a task while there are fewer
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -306,7 +307,9 @@ def read(packages: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=False)], names=names)
 
-    return packages.select("package").repartition("package").mapInArrow(run, schema)
+    # A number of tasks is given, as adaptive coalescing goes by the few bytes of the names and would have one task read all.
+    tasks = min(max(packages.count(), 1), READ_TASKS)
+    return packages.select("package").repartition(tasks).mapInArrow(run, schema)
 
 
 def write_and_read(pages: DataFrame) -> DataFrame:
