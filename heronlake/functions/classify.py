@@ -65,20 +65,18 @@ def _number(s: Column) -> Column:
     return F.coalesce(s.try_cast("int"), F.lit(0))
 
 
-def tv_marks(normalized: Column, mark: Column, pack: Column) -> tuple[Column, Column, Column]:
+def tv_marks(mark: Column, pack: Column) -> tuple[Column, Column, Column]:
     """Whether a name is of a series, its season and its episode (0 for none), from its first episode and season marks.
 
     The mark's parts are read from the mark alone, which matches as it did in the name.
     """
-    one = lambda *groups: F.coalesce(*(F.nullif(_first(mark, P.EPISODE, g), F.lit("")) for g in groups), F.lit("0"))
-    season = F.when(mark != "", _number(one(1, 3, 6))).when(pack != "", _number(_first(pack, P.SEASON, 1))).otherwise(F.lit(0))
-    episode = F.when(mark != "", _number(one(2, 4, 5, 7, 8))).otherwise(F.lit(0))
+    season = F.when(mark != "", _number(_first(mark, P.MARK_SEASON, 1))).when(pack != "", _number(_first(pack, P.SEASON, 1))).otherwise(F.lit(0))
+    episode = F.when(mark != "", _number(_first(mark, P.MARK_EPISODE, 1))).otherwise(F.lit(0))
     return (mark != "") | (pack != ""), season, episode
 
 
-def anime(name: Column, normalized: Column, is_tv: Column, adult: Column) -> Column:
-    plain = F.regexp_replace(normalized, P.java(P.CODEC_TOKEN), "")
-    inner = F.regexp_replace(name, P.java(P.BRACKET_SITE), "")
+def anime(name: Column, normalized: Column, plain: Column, inner: Column, is_tv: Column, adult: Column) -> Column:
+    """``plain``: the normalized name without codecs; ``inner``: the name without a site in brackets before it."""
     bracketed = _has(inner, P.BRACKET_PREFIX) & (_has(plain, P.BARE_EPISODE) | _has(inner, P.BRACKET_EPISODE))
     return ~adult & (_has(plain, P.EP_NUMBER) | bracketed | (is_tv & (_has(name, P.FANSUB) | _has(normalized, P.STREAMING))))
 
@@ -104,10 +102,10 @@ def classify(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     name = F.coalesce(F.col("name"), F.lit(""))
     out = df.withColumn("__n", F.regexp_replace(normalize(name), P.java(P.SITE_PREFIX), ""))
     n = F.col("__n")
-    out = out.withColumns({"__mark": _first(n, P.EPISODE), "__pack": _first(n, P.SEASON)})
-    tv, season, episode = tv_marks(n, F.col("__mark"), F.col("__pack"))
-    out = out.withColumns({"__tv": tv, "__season": season, "__episode": episode, "__adult": _has(name, P.ADULT) | _has(n, P.ADULT), "__year": F.coalesce(F.nullif(_first(n, P.YEAR, 1), F.lit("")), F.lit("0")).cast("int"), "__quality": _first(n, P.RESOLUTION)})
-    out = out.withColumn("__anime", anime(name, n, F.col("__tv"), F.col("__adult")))
+    out = out.withColumns({"__mark": _first(n, P.EPISODE), "__pack": _first(n, P.SEASON), "__year": _number(_first(n, P.YEAR, 1)), "__plain": F.regexp_replace(n, P.java(P.CODEC_TOKEN), ""), "__inner": F.regexp_replace(name, P.java(P.BRACKET_SITE), "")})
+    tv, season, episode = tv_marks(F.col("__mark"), F.col("__pack"))
+    out = out.withColumns({"__tv": tv, "__season": season, "__episode": episode, "__adult": _has(name, P.ADULT) | _has(n, P.ADULT), "__quality": _first(n, P.RESOLUTION)})
+    out = out.withColumn("__anime", anime(name, n, F.col("__plain"), F.col("__inner"), F.col("__tv"), F.col("__adult")))
     kind = F.when(F.col("__anime"), "anime").when(F.col("__tv"), "tv").when((F.col("__year") > 0) | (F.col("__quality") != ""), "movie").otherwise("unknown")
     cut = F.when(F.col("__anime"), _first(F.regexp_replace(n, P.java(P.BRACKET_PREFIX), ""), P.ANIME_TITLE, 1)).otherwise(_first(n, P.TITLE, 1))
     stem = F.when(is_video(F.lower(extension(name))), F.regexp_replace(name, r"\.[^./]*\z", "")).otherwise(name)

@@ -72,12 +72,25 @@ def _alternatives(pattern: str) -> list[str]:
     return [*out, pattern[start:]]
 
 
+#: What begins a plain word in any case: not k and s, which fold to letters beyond ASCII, and nothing that may be left out.
+_PLAIN = re.compile(r"[0-9A-JL-RT-Za-jl-rt-z_](?![?*{])")
+
+
+def _by_first(parts: list[str]) -> str:
+    """Alternatives by their first letter, in any case, so that a place in a text is held against letters before words."""
+    groups: dict[str, list[str]] = {}
+    for p in parts:
+        groups.setdefault(p[0].lower() if re.match(r"[A-Za-z](?![?*+{])", p) else p, []).append(p)
+    return "|".join(f"{same[0][0]}(?:{'|'.join(p[1:] for p in same)})" if len(same) > 1 and len(key) == 1 else "|".join(same) for key, same in groups.items())
+
+
 def any_of(pattern: str) -> str:
-    """Matches where any alternative does, in whatever order: those that begin at a word's edge look for it once."""
+    """Matches where any alternative does, in whatever order and case: those that begin at a word's edge look for it once."""
     parts = _alternatives(pattern)
     edge = [p[2:] for p in parts if p.startswith(r"\b")]
     rest = [p for p in parts if not p.startswith(r"\b")]
-    return "|".join(([rf"\b(?:{'|'.join(edge)})"] if edge else []) + rest)
+    groups = [[p for p in edge if _PLAIN.match(p)], [p for p in edge if not _PLAIN.match(p)]]
+    return "|".join([rf"\b(?:{_by_first(g)})" for g in groups if g] + ([_by_first(rest)] if rest else []))
 
 
 ADULT, SOFTWARE, BLOCKED = (f"(?i){any_of(words)}" for words in (ADULT_WORDS, SOFTWARE_WORDS, BLOCKED_WORDS))
@@ -101,15 +114,39 @@ def up_to_first(*patterns: str) -> str:
 TITLE_CUTS = (EPISODE_CUT, SEASON, SEASON_PACK, YEAR, RESOLUTION, ENCODING, DYNAMIC_RANGE, SOURCE)
 TITLE = up_to_first(*TITLE_CUTS)
 ANIME_TITLE = up_to_first(*TITLE_CUTS, ABSOLUTE_EPISODE)
+#: The numbers of what EPISODE matched: those of its first and second groups, whichever form it has.
+MARK_SEASON = r"(?i)^S?(\d{1,2})(?:E|x|\s)"
+MARK_EPISODE = r"(?i)^(?:S?\d{1,2}(?:E|x|\s+[-–]\s+)|Ep\.?)(\d+)"
+
+
+def _group(text: str) -> list[str]:
+    """The alternatives of the group that ``text`` begins with, if it does."""
+    head = re.match(r"\((?:\?:)?(?!\?)", text)
+    if not head:
+        return []
+    depth, inside, i = 1, False, head.end()
+    while depth:
+        c = text[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        else:
+            inside, depth = c == "[", depth + (c == "(") - (c == ")")
+        i += 1
+    return _alternatives(text[head.end() : i - 1])
 
 
 def _edge(before: str, after: str) -> str:
-    """A word edge; one look is enough where what stands beside it is known to be a word's."""
+    """A word edge; less is enough where what stands beside it is known to be a word's."""
     known = re.compile(r"[0-9A-Za-z_]|\\[dw]")
     if known.match(after):
         return f"(?<!{_WORD})"
     if re.search(r"(?<!\\)[0-9A-Za-z_]$", before):
         return f"(?!{_WORD})"
+    group = _group(after)
+    if group and all(_PLAIN.match(p) for p in group):
+        return f"(?<!{_WORD})(?={_WORD})"
     return _EDGE
 
 
