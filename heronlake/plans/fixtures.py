@@ -32,6 +32,15 @@ SQL = {
  CASE WHEN o.o_orderkey%7=0 THEN NULL ELSE o.o_orderdate END AS scrape_at,
  CASE WHEN o.o_orderkey%11=0 THEN NULL ELSE o.o_orderdate END AS last_seen
 FROM {{orders}} o JOIN {{part}} p ON p.p_partkey = o.o_orderkey%200""",
+    # Names of the kinds that the others lack: groups and sites in brackets, running episode numbers, streaming services, words that are refused, sizes beyond the limits.
+    "releases": f"""SELECT {_HASH.format('o_orderkey')} AS infohash, CASE o_orderkey%12 WHEN 0 THEN concat('[SubsPlease] ', p_name, ' - ', CAST(10+o_orderkey%80 AS VARCHAR(9)), ' (1080p)')
+  WHEN 1 THEN concat('www.site', CAST(o_orderkey%30 AS VARCHAR(9)), '.org - ', replace(p_name, ' ', '.'), '.2019.720p.HDTV') WHEN 2 THEN concat(replace(p_name, ' ', '.'), '.EP', CAST(100+o_orderkey%900 AS VARCHAR(9)), '.576p.XviD')
+  WHEN 3 THEN concat(replace(p_name, ' ', '_'), '_S01E', CAST(10+o_orderkey%80 AS VARCHAR(9)), '_Crunchyroll_WEBRip') WHEN 4 THEN concat('[Erai-raws] ', p_name, ' [', CAST(o_orderkey%99 AS VARCHAR(9)), '][HEVC]')
+  WHEN 5 THEN concat(replace(p_name, ' ', '.'), '.XXX.2011.1080p') WHEN 6 THEN concat(p_name, ' x64 Multilingual 2012 720p') WHEN 7 THEN concat(replace(p_name, ' ', '.'), '.2001.Dolby.Vision.2160p.REMUX-AB')
+  WHEN 8 THEN concat(p_name, ' 2001 SDR 480p DVDRip DivX.avi') WHEN 9 THEN concat(p_name, '.1999.DV.Blu-Ray-GROUP.mkv') WHEN 10 THEN concat('[site.com] [Judas] ', p_name, ' 123-140 (BD 720p)')
+  ELSE concat(p_name, ' S3 - ', CAST(o_orderkey%1000 AS VARCHAR(9)), ' PDTV x265') END AS name,
+ CASE CAST(floor(o_orderkey/16) AS BIGINT)%9 WHEN 0 THEN 1000 WHEN 1 THEN 214748364800 ELSE 2147483648 END AS total_size, 'pending' AS state, 'unknown' AS content_type
+FROM {{orders}} JOIN {{part}} ON p_partkey = o_orderkey%200""",
     "torrent_files": f"""SELECT {_HASH.format('l_orderkey')} AS infohash,
  concat('dir.', CAST(l_suppkey AS VARCHAR(20)), '/f', CAST(l_linenumber AS VARCHAR(9)), CASE l_partkey%6 WHEN 0 THEN '.mkv' WHEN 1 THEN '.MKV' WHEN 2 THEN '.srt' WHEN 3 THEN '.exe' WHEN 4 THEN '' ELSE '.mp4' END) AS path,
  CAST(l_quantity AS BIGINT)*1048576 AS size FROM {{lineitem}}""",

@@ -103,6 +103,14 @@ def classify_titles(spark, sf):
     return C.classify(view(spark, sf, "torrents", heavy=True)).groupBy("result.title", "result.content_type").agg(F.count("*").alias("n"))
 
 
+@query(f"""{cte('releases', 'torrent_files')}, torrents AS (SELECT * FROM releases), {_CLASSIFIED}, {_FILES}
+SELECT infohash, content_type, title, year, season, episode, quality, encoding, dynamic_range, source, release_group, reason AS rejection_reason FROM judged""")
+def classify_releases(spark, sf):
+    rows = catalog.with_files(view(spark, sf, "releases", heavy=True), view(spark, sf, "torrent_files"))
+    fields = ("content_type", "title", "year", "season", "episode", "quality", "encoding", "dynamic_range", "source", "release_group", "rejection_reason")
+    return C.classify(rows).select("infohash", *(f"result.{c}" for c in fields))
+
+
 @query(f"{cte('torrents', 'torrent_files')}, {_CLASSIFIED}, {_FILES} SELECT infohash, reason AS rejection_reason, CASE WHEN reason = '' THEN 'classified' ELSE 'rejected' END AS state FROM judged")
 def reject_cascade(spark, sf):
     rows = catalog.with_files(view(spark, sf, "torrents", heavy=True), view(spark, sf, "torrent_files"))
