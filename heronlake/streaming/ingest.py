@@ -62,16 +62,15 @@ def message_stream(spark, folder: str, schema: str | None = None, most_files: in
 
 
 def start(stream: DataFrame, store: TableStore, checkpoint: str, now: Column, **options):
-    """A query that stores each micro-batch of fetches: files first, then torrents; a repeated batch finds its keys stored and adds nothing."""
+    """A query that appends what each micro-batch of fetches adds, files before torrents; a repeated batch finds its keys stored and adds nothing."""
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        old = TableStore(spark, store.root, store.schemas)
-        stored = old.read("torrents")
-        out = ingest(df, stored, now, **options)
+        own = TableStore(df.sparkSession, store.root, store.schemas, store.most_pieces)
+        out = ingest(df, own.read("torrents"), now, **options)
+        added = {}
         if "torrent_files" in out:
-            files = out["torrent_files"].withColumns({"id": F.xxhash64("infohash", "path"), "created_at": now, "updated_at": now})
-            known = old.read("torrent_files")
-            old.write("torrent_files", known.unionByName(files.select(*SCHEMAS["torrent_files"].names).join(known.select("infohash"), "infohash", "left_anti").select(*SCHEMAS["torrent_files"].names)))
-        old.write("torrents", stored.unionByName(out["torrents"]))
+            names = SCHEMAS["torrent_files"].names
+            files = out["torrent_files"].withColumns({"id": F.xxhash64("infohash", "path"), "created_at": now, "updated_at": now}).select(*names)
+            added["torrent_files"] = files.join(own.read("torrent_files").select("infohash"), "infohash", "left_anti").select(*names)
+        own.append(added | {"torrents": out["torrents"]})
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -142,6 +142,22 @@ def test_stores_forget_old_data(spark, tmp_path):
     assert store.read("genres").first().id == 4 and store.read("genres", 4).first().id == 3
 
 
+def test_appends_write_their_own_rows(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}", {"genres": SCHEMAS["genres"]}, most_pieces=3)
+    folders = lambda: {p.name for p in (tmp_path / "genres").glob("data-*")}
+    ids_of = lambda v=None: sorted(r.id for r in store.read("genres", v).collect())
+    rows = lambda *k: spark.createDataFrame([(i, i, "movie", "x") for i in k], SCHEMAS["genres"])
+    store.append({"genres": rows(0)})
+    first = folders()
+    store.append({"genres": rows(1)})
+    store.append({"genres": rows()})  # nothing new
+    assert first < folders() and len(folders()) == 3 and ids_of() == [0, 1]
+    store.append({"genres": rows(2)})  # beyond the most pieces: one whole folder
+    assert ids_of() == [0, 1, 2] and ids_of(3) == [0, 1] and len(folders()) == 4
+    store.append({"genres": rows(3)})
+    assert ids_of() == [0, 1, 2, 3] and ids_of(4) == [0, 1, 2] and len(folders()) == 2 and not first & folders()
+
+
 def test_gateway_and_stored_patches(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}", SCHEMAS)
     cols = "infohash string, name string, state string, content_type string, created_at timestamp"
