@@ -115,10 +115,15 @@ def encode_peer(ip: Column, port: Column) -> Column:
 
 
 def decode_nodes(b: Column) -> Column:
-    """Nodes of a string of 26-byte records; null if its length is no multiple."""
-    n = F.floor(F.octet_length(b) / 26).cast("int")
-    one = lambda i: F.struct(F.lower(F.hex(F.substring(b, i * 26 + 1, F.lit(20)))).alias("id"), _address(b, i * 26 + 21).alias("addr"))
-    return F.when(F.octet_length(b) % 26 == 0, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<id:string,addr:struct<ip:string,port:int>>>")))
+    """Nodes of a string of 26-byte records; null if its length is no multiple. The string is read from its row once, not once a record."""
+    none = F.array().cast("array<struct<id:string,addr:struct<ip:string,port:int>>>")
+    one = lambda x, i: F.struct(F.lower(F.hex(F.substring(x, i * 26 + 1, F.lit(20)))).alias("id"), _address(x, i * 26 + 21).alias("addr"))
+
+    def nodes(x: Column) -> Column:
+        n = F.floor(F.octet_length(x) / 26).cast("int")
+        return F.when(F.octet_length(x) % 26 == 0, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(x, i))).otherwise(none))
+
+    return let(b, nodes)
 
 
 def encode_node(node_id: Column, ip: Column, port: Column) -> Column:

@@ -56,6 +56,15 @@ def test_codecs(spark):
     assert spark.createDataFrame([(b"a" * 45,)], "b binary").select(F.size(ids.split_samples(F.col("b")))).first()[0] == 2
 
 
+def test_long_node_lists_are_read_once(spark):
+    """A column in a record's expression is copied from its row for each record."""
+    assert str(ids.decode_nodes(F.col("wire_nodes"))).count("wire_nodes") == 1
+    rows = spark.range(20_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("n"), (F.col("id") % 65_536).alias("port"))
+    packed = rows.agg(F.unhex(F.array_join(F.collect_list(F.hex(ids.encode_node(F.col("n"), F.lit("10.0.0.7"), F.col("port")))), "")).alias("nodes"))
+    got = packed.select(F.explode(ids.decode_nodes(F.col("nodes"))).alias("r")).select(F.col("r.id").alias("n"), F.col("r.addr.port").cast("long").alias("port"))
+    assert got.count() == 20_000 and got.exceptAll(rows).isEmpty()
+
+
 def test_nearest(spark):
     nodes, targets = _ids(300), _ids(4, 9)
     n = spark.createDataFrame([(x, i % 4) for i, x in enumerate(nodes)], "node_id string, failure_count int")
