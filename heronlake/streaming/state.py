@@ -101,27 +101,30 @@ class PeerStore:
             self.queue.append((at, infohash, peer))
 
 
-def live_peers(events: DataFrame, now, ttl_seconds: int, most_peers: int, most_hashes: int, store: str | None = None) -> DataFrame:
+def live_peers(events: DataFrame, now, ttl_seconds: int, most_peers: int, most_hashes: int | None, store: str | None = None) -> DataFrame:
     """``infohash, ip, port, seen_at`` (and the column ``store``, if stores are told apart by one): what a store holds at ``now`` after its announcements up to then.
 
     A store's evictions depend on all that came before, so one store is one sequence; it holds no more than its caps allow.
+    Without a cap on hashes (None) none is evicted, hashes don't depend on each other, and each is a sequence of its own.
     """
-    keys = [store] if store else []
-    rows = events.where(F.col("seen_at") <= now).select(*keys, F.unix_micros("seen_at").alias("at"), "event_id", "infohash", "ip", F.col("port").cast("long").alias("port"))
+    stores = [store] if store else []
+    keys = stores if most_hashes is not None else [*stores, "infohash"]
+    rows = events.where(F.col("seen_at") <= now).select(*stores, "infohash", F.unix_micros("seen_at").alias("at"), "event_id", "ip", F.col("port").cast("long").alias("port"))
+    n = len(stores)
 
     def step(held: PeerStore, key: tuple, row: tuple):
-        at, _, infohash, ip, port = row
+        infohash, at, _, ip, port = (*key, *row)[n:]
         held.add(infohash, (ip, port), at)
         return ()
 
     def end(held: PeerStore, key: tuple):
         for infohash, peers in held.held.items():
             for (ip, port), at in peers.items():
-                yield *key, infohash, ip, port, at
+                yield *key[:n], infohash, ip, port, at
 
     kind = f"{store} {events.schema[store].dataType.simpleString()}, " if store else ""
-    got = sequential.fold(rows, keys, ["at", "event_id"], f"{kind}infohash string, ip string, port long, at long", lambda _: PeerStore(ttl_seconds * 1_000_000, most_peers, most_hashes), step, end)
-    return got.where(F.col("at") > F.unix_micros(now) - ttl_seconds * 1_000_000).select(*keys, "infohash", "ip", "port", F.timestamp_micros("at").alias("seen_at"))
+    got = sequential.fold(rows, keys, ["at", "event_id"], f"{kind}infohash string, ip string, port long, at long", lambda _: PeerStore(ttl_seconds * 1_000_000, most_peers, 1 if most_hashes is None else most_hashes), step, end)
+    return got.where(F.col("at") > F.unix_micros(now) - ttl_seconds * 1_000_000).select(*stores, "infohash", "ip", "port", F.timestamp_micros("at").alias("seen_at"))
 
 
 class _Peers(StatefulProcessor):

@@ -65,6 +65,37 @@ def test_stores_against_plain_lists(spark):
     assert _live(log.limit(0), _at(4000), 300, 3, 4) == []
 
 
+def test_a_store_without_a_cap_on_hashes_lets_none_go(spark):
+    r = random.Random(5)
+    rows = sorted(((f"h{r.randrange(40)}", f"p{r.randrange(6)}", r.randrange(4000)) for _ in range(600)), key=lambda x: x[2])
+    log = _log(spark, rows)
+    for peers in (2, 10):
+        assert _live(log, _at(4000), 300, peers, None) == _live(log, _at(4000), 300, peers, 1000)
+    both = log.withColumn("own", F.lit("x")).unionByName(log.withColumn("own", F.lit("y")))
+    assert _live(both, _at(4000), 300, 3, None, store="own") == sorted(_live(log, _at(4000), 300, 3, 1000) * 2)
+
+
+def _differing(spark, name: str, folder, **tables) -> tuple[int, int]:
+    """Rows of a query that its SQL has not, and the other way round, on these tables."""
+    import __spark_entry__ as entry
+
+    con = pytest.importorskip("duckdb").connect()
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    entry.queries()[name](spark, str(folder)).write.parquet(f"{folder}/got")
+    con.execute(f"CREATE TABLE b AS {entry.oracle_sql()[name]}")
+    cols = ", ".join(r[0] for r in con.execute("DESCRIBE b").fetchall())
+    con.execute(f"CREATE TABLE a AS SELECT {cols} FROM '{folder}/got/*.parquet'")
+    return tuple(con.execute(f"SELECT count(*) FROM (SELECT * FROM {x} EXCEPT ALL SELECT * FROM {y})").fetchall()[0][0] for x, y in ("ab", "ba"))
+
+
+def test_peers_of_more_hashes_than_a_store_of_ten_thousand(spark, tmp_path):
+    events = spark.range(24_000).select(F.col("id").alias("event_id"), (F.timestamp_seconds(F.col("id") + 1_700_000_000)).cast("timestamp_ntz").alias("ts"), (F.col("id") % 12_000).alias("user_id"))
+    customer = spark.range(40).select(F.col("id").alias("c_custkey"))
+    assert _differing(spark, "get_peers_replies", tmp_path, events=events, customer=customer) == (0, 0)
+
+
 def test_limits_by_idle_time_and_room(spark):
     rows = [("a", 0, 1), ("a", 0, 2), ("b", 1, 3), ("c", 1, 4), ("a", 2, 5), ("c", 60, 6), ("", 61, 7), (None, 62, 8)]
     df = spark.createDataFrame([(ip, T0 + dt.timedelta(seconds=s), i) for ip, s, i in rows], "ip string, at timestamp, seq long")
