@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 _own = ""
 _kept: list[str] = []  # paths of tables that :func:`release` removes
 
-BATCH_BYTES = 4 << 20  # of an Arrow batch sent to Python; a longer document makes a batch of its own
+BATCH_BYTES = 1 << 20  # of an Arrow batch sent to Python; a longer document makes a batch of its own
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 SLICE_BYTES = 1 << 20  # text handled at a time; a longer document makes a slice of its own
+FEW_BYTES = 1 << 18  # of text, where workers wait beside other work of their executor and what they keep counts
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -38,7 +39,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size, tables = max(n, SLICE_BYTES) + 1, []
+        size, tables = max(FEW_BYTES, 1 << (n - 1).bit_length()) + 1, []
         for base in (STEP, BACK):
             t = np.full(size, base, U)
             t[0] = 1

@@ -25,6 +25,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -173,7 +174,10 @@ class ShardSet:
         """The live manifest: ``shard`` (a number), ``file, shard_bytes, tier, version``."""
         v = self.version()
         rows = [(i, s.path.rpartition("/")[2], s.size, s.tier, v) for i, s in enumerate(self.shards(v))]
-        return self.spark.createDataFrame(rows, "shard int, file string, shard_bytes long, tier int, version int")
+        schema = "shard int, file string, shard_bytes long, tier int, version int"
+        # As Arrow, since rows would go through Python workers, which then stay in the executors' memory.
+        columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        return self.spark.createDataFrame(pa.Table.from_arrays(columns, names=["shard", "file", "shard_bytes", "tier", "version"]), schema)
 
 
 def load(docs: DataFrame, arrivals: int = 4, target: int = TARGET_BYTES) -> ShardSet:

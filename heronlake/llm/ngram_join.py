@@ -60,8 +60,8 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            for part in W.slices(batch, "text"):
-                total += np.bincount((np.concatenate([*_sets(part, "text", k), np.zeros(0, W.U)]) >> W.U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+            sets = [s for part in W.slices(batch, "text", W.FEW_BYTES) for s in _sets(part, "text", k)]
+            total += np.bincount((np.concatenate([*sets, np.zeros(0, W.U)]) >> W.U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
         if total.any():
             yield rows({i: v for i, v in enumerate(total.reshape(-1, width)) if v.any()})
 
@@ -95,7 +95,7 @@ def prefixes(docs: DataFrame, freq, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = freq.value, set()
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.FEW_BYTES):
                 n, f1, f2, lead, p, tokens = [], [], [], [], [], []
                 for s in _sets(part, "text", k):
                     with np.errstate(over="ignore"):
@@ -146,7 +146,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.FEW_BYTES):
                 sets = list(_sets(part, "text", k))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate([*sets, np.zeros(0, W.U)])

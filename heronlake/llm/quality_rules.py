@@ -94,7 +94,7 @@ def measures(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, text):
+            for part in W.slices(batch, text, W.FEW_BYTES):
                 got = measure(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in own] + [pa.array(got[m], pa.int64()) for m in MEASURES], names=[*own, *MEASURES])
 

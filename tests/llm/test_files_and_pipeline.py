@@ -202,3 +202,24 @@ def test_pipeline(spark, odd, labels, tmp_path):
     assert held <= {r.doc_id for r in docs.collect()} and len(got) >= 20
     stage = pipeline.rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert stage.columns == docs.columns
+
+
+def test_the_pipeline_leaves_little_in_the_executors(spark, monkeypatch):
+    """Executors keep their Python workers and what these hold: a manifest's rows start none, and tables for pieces of texts are small."""
+    import numpy as np
+    import pyarrow as pa
+
+    from heronlake.llm import _words as W
+
+    s = compaction.load(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text")))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows by Python workers"))
+    live = s.shards()
+    assert [tuple(r) for r in s.table().orderBy("shard").collect()] == [(i, x.path.rpartition("/")[2], x.size, x.tier, s.version()) for i, x in enumerate(live)]
+    monkeypatch.setattr(W, "_powers", [])
+    texts = pa.array(["one two three " * 300] * 400)
+    parts = list(W.slices(pa.record_batch([texts], names=["text"]), "text", W.FEW_BYTES))
+    sets = [np.concatenate([W.words(p.column("text")).count() for p in parts]), W.words(texts).count()]
+    assert len(parts) > 4 and (sets[0] == sets[1]).all() and (sets[0] == 900).all()
+    W._powers.clear()
+    W.words(parts[0].column("text"))
+    assert sum(t.nbytes for t in W._powers) < 8 << 20
